@@ -155,7 +155,7 @@ WITH v AS (
 s AS (
   SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.x, d.x), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
   FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
-SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY rank <= 20
 """

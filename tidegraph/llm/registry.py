@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, maxscore, mixing, secret_scan, simhash, url_filter
+from . import byte_bpe, exact_dedup, maxscore, mixing, secret_scan, simhash, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_maxscore": maxscore.op4_maxscore,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.OP2_SQL,
         "op4_maxscore": maxscore.OP4_SQL,
         "op5_secret_scan": secret_scan.OP5_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
