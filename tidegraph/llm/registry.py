@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, maxscore, mixing, secret_scan, simhash, substring_dedup, url_filter
+from . import byte_bpe, exact_dedup, license_scan, maxscore, mixing, quality, secret_scan, simhash, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_quality": quality.op3_quality,
         "op4_maxscore": maxscore.op4_maxscore,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -20,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_license_scan": license_scan.OP1_SQL,
         "op2_substring_dedup": substring_dedup.OP2_SQL,
         "op4_maxscore": maxscore.OP4_SQL,
         "op5_secret_scan": secret_scan.OP5_SQL,

@@ -281,8 +281,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT doc_id, unnest(range(1, greatest(1, len(ws) - 18))) AS start FROM d),
-g AS (SELECT doc_id, start, row_number() OVER (PARTITION BY array_to_string(ws[start:start + 19], ' ') ORDER BY doc_id, start) AS nth FROM s JOIN d USING (doc_id)),
+s AS (
+  SELECT doc_id, unnest(range(1, greatest(1, len(ws) - 18))) AS start,
+         unnest(list_transform(range(1, greatest(1, len(ws) - 18)), lambda i: array_to_string(ws[i:i + 19], ' '))) AS t
+  FROM d),
+g AS (SELECT doc_id, start, row_number() OVER (PARTITION BY t ORDER BY doc_id, start) AS nth FROM s),
 c AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM g WHERE nth > 1),
 w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM d),
 k AS (
