@@ -1,0 +1 @@
+"""Analytics over event-driven service-dependency graphs, on Spark DataFrames."""
