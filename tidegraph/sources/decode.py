@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidRequest
 from ..functions.scalar import not_blank
@@ -34,8 +35,8 @@ def decode(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     An observation without latency_ms has latency 0. Everything else that the schema forbids goes to the quarantine,
     with its fault.
     """
-    schema = EVENT.simpleString()[7:-1].replace(":", " ", 0)
-    parsed = raw.withColumn("e", F.from_json("value", f"struct<{schema},_corrupt:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    schema = T.StructType([*EVENT.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = raw.withColumn("e", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     judged = parsed.withColumn("fault", _fault(F.col("e"), F.col("value")))
     good = judged.where(F.col("fault").isNull() & not_blank(F.col("e.event_id")))
     latency = F.when(F.col("e.type") == OBSERVED, F.coalesce("e.latency_ms", F.lit(0)))
@@ -63,6 +64,5 @@ def read_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, quarantine) of files that hold an array of events each; the order is by file name, then place."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").alias("items"))
     rows = whole.select("file", F.posexplode("items").alias("pos", "value"))
-    files = rows.select("file").distinct().orderBy("file")
-    numbered = files.withColumn("k", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("file")))
+    numbered = rows.select("file").distinct().withColumn("k", F.row_number().over(Window.orderBy("file")))
     return decode(rows.join(numbered, "file").select(((F.col("k") - 1) * F.lit(1 << 32) + F.col("pos")).alias("arrival_seq"), "value"))

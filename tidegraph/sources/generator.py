@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import GeneratorConfig
@@ -33,9 +33,9 @@ def topology(spark: SparkSession, c: GeneratorConfig) -> DataFrame:
 
 def events(spark: SparkSession, c: GeneratorConfig = GeneratorConfig(), start: str = "2026-01-01 00:00:00") -> DataFrame:
     """78 % observations, 10 % heartbeats, 6 % metadata, 6 % removals; a share replays one of the 64 events before."""
-    edges = topology(spark, c).orderBy("source", "target")
-    numbered = edges.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1])).toDF("edge bigint, source string, target string")
-    n = numbered.count()
+    edges = topology(spark, c)
+    n = edges.count()
+    numbered = edges.select((F.row_number().over(Window.orderBy("source", "target")) - 1).cast("bigint").alias("edge"), "source", "target")  # as many rows as the settings ask for
     rows = spark.range(c.events).withColumn("i", F.when((_u(c.seed, "dup", "id") < c.duplicate_rate) & (F.col("id") > 0), F.col("id") - 1 - F.floor(_u(c.seed, "back", "id") * F.least(F.col("id"), F.lit(LAST_REPLAYED)))).otherwise(F.col("id")))
     kind, long_tail, bad = _u(c.seed, "kind", "i"), _u(c.seed, "tail", "i"), _u(c.seed, "bad", "i")
     rows = rows.select(
