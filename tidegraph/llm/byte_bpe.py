@@ -17,6 +17,8 @@ LEAF_BYTES = 24
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 200_000
 DECODE_LEAF = 4096
+#: Stands for the rank of two neighbours that make no token; over all ranks.
+NO_RANK = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,15 +57,16 @@ class Codec:
         ranks, n = self.ranks, len(data)
         if n < 64:
             parts = [data[i : i + 1] for i in range(n)]
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    r = ranks.get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            pairs = [ranks.get(data[i : i + 2], NO_RANK) for i in range(n - 1)]
+            while pairs and (best := min(pairs)) < NO_RANK:
+                i = pairs.index(best)
+                whole = parts[i] + parts[i + 1]
+                parts[i : i + 2] = [whole]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = ranks.get(parts[i - 1] + whole, NO_RANK)
+                if i < len(pairs):
+                    pairs[i] = ranks.get(whole + parts[i + 1], NO_RANK)
             return [ranks[p] for p in parts]
         end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
