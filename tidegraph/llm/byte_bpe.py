@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 LEAF_BYTES = 24
-#: Pieces of text whose ids a worker remembers.
+#: Pieces of text whose ids a worker remembers; as many again of those before them.
 REMEMBERED = 200_000
 DECODE_LEAF = 4096
 #: Stands for the rank of two neighbours that make no token; over all ranks.
@@ -30,12 +30,14 @@ class _Pieces(dict):
     """The ids of the pieces seen of late; others are encoded when they are looked up."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode(piece)
+        if (ids := self.before.get(piece)) is None:
+            ids = self.encode(piece)
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
