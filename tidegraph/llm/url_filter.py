@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: (verdict, host, path)
 RULES = (
@@ -69,23 +69,22 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     pages: page_id, host. outcomes: page_id, bad (0 or 1), a row for each labelled page. A suffix shrinks to the rate
     of all pages, a registered domain to its suffix, a host to its domain; each level's prior strength is fitted to
-    the labelled outcomes. Each level is a grouped sum, so a host with a third of all pages is added up map-side.
+    the labelled outcomes. The sums of each host are written once and read by every level. Each level is a grouped sum, so a host with a third of all pages is added up map-side.
     """
     by_host = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = by_host.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = stored(by_host, "hosts").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("all_rate"))
 
-    level = suffixes.join(F.broadcast(total))  # one row
-    m = _strength(level.where("n > 0"), "all_rate").withColumnRenamed("m", "m1")
-    level = level.join(F.broadcast(m)).select("suffix", ((F.col("bad") + F.col("m1") * F.col("all_rate")) / (F.col("n") + F.col("m1"))).alias("suffix_rate"))
+    # one number each: scalar subqueries, no joins
+    level = suffixes.withColumn("all_rate", total.scalar())
+    level = level.withColumn("m1", _strength(level.where("n > 0"), "all_rate").scalar()).select("suffix", ((F.col("bad") + F.col("m1") * F.col("all_rate")) / (F.col("n") + F.col("m1"))).alias("suffix_rate"))
     below = domains.join(level, "suffix")
-    m = _strength(below.where("n > 0"), "suffix_rate").withColumnRenamed("m", "m2")
-    below = below.join(F.broadcast(m)).select("domain", ((F.col("bad") + F.col("m2") * F.col("suffix_rate")) / (F.col("n") + F.col("m2"))).alias("domain_rate"))
+    below = below.withColumn("m2", _strength(below.where("n > 0"), "suffix_rate").scalar()).select("domain", ((F.col("bad") + F.col("m2") * F.col("suffix_rate")) / (F.col("n") + F.col("m2"))).alias("domain_rate"))
     last = hosts.join(below, "domain")
-    m = _strength(last.where("n > 0"), "domain_rate").withColumnRenamed("m", "m3")
-    return last.join(F.broadcast(m)).select("host", "n", "bad", (F.col("bad") + F.col("m3") * F.col("domain_rate")).alias("alpha"), (F.col("n") - F.col("bad") + F.col("m3") * (1 - F.col("domain_rate"))).alias("beta"))
+    last = last.withColumn("m3", _strength(last.where("n > 0"), "domain_rate").scalar())
+    return last.select("host", "n", "bad", (F.col("bad") + F.col("m3") * F.col("domain_rate")).alias("alpha"), (F.col("n") - F.col("bad") + F.col("m3") * (1 - F.col("domain_rate"))).alias("beta"))
 
 
 def reputation_verdict(alpha: Column, beta: Column, z: float = BOUND_Z, max_bad: float = MAX_BAD) -> Column:
