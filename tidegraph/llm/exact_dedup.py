@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 PREFIX_CHARS = 256
 
@@ -16,14 +16,16 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     Rows are grouped by byte length, the survivors by a hash of their first `prefix_chars` characters, and only rows
     whose length and prefix both recur have their full text hashed. Every grouping is a count with map-side sums and
     is joined back to its rows (a join that adaptive execution can split), so a hot length or prefix is never
-    gathered in one task. Null texts count as empty.
+    gathered in one task. The groups are written to the shared folder, so a join to them shuffles both sides: adaptive
+    execution can split the rows of a hot group, or broadcast the groups where their measured size allows it. Null
+    texts count as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).select("_id", F.octet_length("_t").alias("_len"), F.xxhash64(F.substring("_t", 1, prefix_chars)).alias("_prefix"), "_t")
     by_length = rows.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len")
     by_prefix = rows.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").join(by_length, "_len", "left_semi").select("_len", "_prefix")
     full = rows.join(by_prefix.hint("shuffle_hash"), ["_len", "_prefix"], "left_semi").select("_id", F.sha2("_t", 256).alias("text_sha256"))
-    return full.groupBy("text_sha256").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    return stored(full.groupBy("text_sha256").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "copies")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
