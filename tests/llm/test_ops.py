@@ -262,8 +262,19 @@ def test_held_out_accuracy(spark):
     rated = quality.graded(read("labels"))
     half = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0)
     scored = quality.score(read("documents").select("doc_id", "text"), quality.train(read("documents"), half)).join(rated.join(half, "doc_id", "left_anti"), "doc_id")
-    n, junk, junk_gone, clean, clean_kept = scored.agg(F.count("*"), F.count(F.when(F.col("grade") == 0, 1)), F.count(F.when((F.col("grade") == 0) & ~F.col("kept"), 1)), F.count(F.when(F.col("grade") == 2, 1)), F.count(F.when((F.col("grade") == 2) & F.col("kept"), 1))).first()
-    assert junk_gone >= 0.9 * junk and clean_kept >= 0.97 * clean and n > 100
+    junk, clean = F.col("grade") == 1, F.col("grade") == 2
+    n, n_junk, junk_gone, n_clean, clean_kept = scored.agg(F.count("*"), F.count_if(junk), F.count_if(junk & ~F.col("kept")), F.count_if(clean), F.count_if(clean & F.col("kept"))).first()
+    assert junk_gone >= 0.9 * n_junk and clean_kept >= 0.97 * n_clean and n > 100
+
+
+def test_rare_insults_in_long_texts(spark):
+    """A few words of a small vocabulary, in any form, mark toxic texts; most texts are long and clean."""
+    rude = ["zorkish", "zorkishly", "zorkishness", "zorkishes"]
+    texts = [" ".join([*(w for w in prose(RNG.randrange(50, 400)).split()), *(RNG.sample(rude, 2) if i % 8 == 0 else [])]) for i in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.score(df, quality.train(df, quality.graded(labels))).where("kept and doc_id >= 400").collect()}
+    assert kept == {i for i in range(400, 800) if i % 8}
 
 
 def test_pipeline_stages(spark):

@@ -16,7 +16,9 @@ from .texts import Words, slices
 GRADES = 3
 WORD_BITS = 16
 SHAPE_BITS = 10
-WIDTH = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 1
+STEM_BITS = 14
+STEM_BYTES = 6
+WIDTH = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 1 + (1 << STEM_BITS)
 #: Short texts count as having so many words, lest a few words decide.
 LEAST_WORDS = 64
 #: Labelled rows that the model is fitted on at most, the first by a hash of their id.
@@ -30,14 +32,21 @@ LEAST_TAIL = 0.5
 _SHAPE = bytes(48 if 48 <= c < 58 else 65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c >= 128 else c for c in range(256))
 
 
+def _keys(text: np.ndarray, hash_: np.ndarray, bits: int) -> np.ndarray:
+    """The text's number and, below it, so many bits of the hash."""
+    return (text.astype(np.int64) << bits) | (hash_ & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, column, value) of the non-zero features, by text.
 
     Hashed lower-case words that occur, each 1 / sqrt(how many occur), hashed word shapes (letters, capitals, digits
-    and signs, runs drawn together) by their share, and the share of words that repeat the one before.
+    and signs, runs drawn together) by their share, the share of words that repeat the one before, and hashed stems (the
+    first STEM_BYTES bytes of lower-case words), each log(1 + its count) / 8 whatever the length of the text: a few
+    insults count in a long text too, in all their forms.
     """
-    words = Words([t.lower() for t in texts])
-    key = np.unique((words.text.astype(np.int64) << WORD_BITS) | (words.hash & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64))
+    words = Words([t.lower() for t in texts], STEM_BYTES)
+    key = np.unique(_keys(words.text, words.hash, WORD_BITS))
     row, col = key >> WORD_BITS, key & ((1 << WORD_BITS) - 1)
     val = 1 / np.sqrt(np.maximum(LEAST_WORDS, np.bincount(row, minlength=len(texts))))[row]
     drawn = []
@@ -45,13 +54,15 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = np.frombuffer(t.translate(_SHAPE), np.uint8)
         drawn.append(a[np.concatenate(([True], a[1:] != a[:-1]))].tobytes() if len(a) else b"")
     shapes = Words(drawn)
-    key, n = np.unique((shapes.text.astype(np.int64) << SHAPE_BITS) | (shapes.hash & np.uint64((1 << SHAPE_BITS) - 1)).astype(np.int64), return_counts=True)
+    key, n = np.unique(_keys(shapes.text, shapes.hash, SHAPE_BITS), return_counts=True)
     row2, col2 = key >> SHAPE_BITS, (key & ((1 << SHAPE_BITS) - 1)) + (1 << WORD_BITS)
     val2 = n / np.bincount(row2, weights=n, minlength=len(texts))[row2]
     same = (words.hash[1:] == words.hash[:-1]) & (words.text[1:] == words.text[:-1])
     again = np.bincount(words.text[1:][same], minlength=len(texts)) / np.maximum(1, np.bincount(words.text, minlength=len(texts)))
-    row3 = np.flatnonzero(again)
-    row, col, val = (np.concatenate(x) for x in ((row, row2, row3), (col, col2, np.full(len(row3), WIDTH - 1)), (val, val2, again[row3])))
+    row3, single = np.flatnonzero(again), (1 << WORD_BITS) + (1 << SHAPE_BITS)
+    key, n = np.unique(_keys(words.text, words.stem, STEM_BITS), return_counts=True)
+    row4, col4 = key >> STEM_BITS, (key & ((1 << STEM_BITS) - 1)) + single + 1
+    row, col, val = (np.concatenate(x) for x in ((row, row2, row3, row4), (col, col2, np.full(len(row3), single), col4), (val, val2, again[row3], np.log1p(n) / 8)))
     order = np.argsort(row, kind="stable")
     return row[order], col[order], val[order]
 
@@ -101,9 +112,9 @@ def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, gr
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """doc_id and grade: 0 for low quality, 1 for good prose that is toxic, 2 for good prose. Repeated labels: the least."""
+    """doc_id and grade: 0 for toxic, 1 for low quality, 2 for good prose. Repeated labels: the least."""
     known = labels.where("doc_id is not null and quality is not null")
-    return known.groupBy("doc_id").agg(F.min(F.when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2)).alias("grade"))
+    return known.groupBy("doc_id").agg(F.min(F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)).alias("grade"))
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:

@@ -30,9 +30,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of some texts: start and end in `data`, the text each belongs to, and its hash."""
+    """The words `[^\\x20\\x09-\\x0D]+` of some texts: start and end in `data`, the text each belongs to, and its hash.
 
-    def __init__(self, texts: list[bytes]):
+    With stem_bytes, also the hash of each word's first so many bytes.
+    """
+
+    def __init__(self, texts: list[bytes], stem_bytes: int = 0):
         self.data = data = b"\n".join(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_at = np.concatenate(([0], np.cumsum(sizes + 1)))
@@ -45,6 +48,8 @@ class Words:
         up, down = _power_tables(len(data) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((bytes_.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
         self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start])
+        if stem_bytes:
+            self.stem = mixed((sums[np.minimum(self.end, self.start + stem_bytes)] - sums[self.start]) * down[self.start])
 
     def __len__(self) -> int:
         return len(self.start)
