@@ -303,6 +303,48 @@ def test_pipeline_stages(spark):
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in e) == sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in d.collect())
 
 
+def jaccard_groups(given, least=0.8, k=5):
+    """Least place that each place of given reaches over pairs of texts with Jaccard of k-word shingles >= least."""
+
+    def shingles(t):
+        ws = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)]
+        return frozenset(tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1)))
+
+    sets, root = [shingles(t) for t in given], list(range(len(given)))
+    pairs = 0
+    for i, j in itertools.combinations(range(len(given)), 2):
+        if min(len(sets[i]), len(sets[j])) >= 0.79 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) * 100 >= least * 100 * len(sets[i] | sets[j]):
+            pairs += 1
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    return root, pairs
+
+
+def edited(t, n):
+    ws = t.split()
+    for i in RNG.sample(range(len(ws)), n):
+        ws[i] = RNG.choice(VOCAB) + "x"
+    return " ".join(ws)
+
+
+def test_pipeline_near_copies(spark, empty):
+    """Against brute force: copies with words changed, a line that many texts share, a chain, a large group."""
+    import corpus_pipeline as P
+
+    line, base = prose(12), prose(120)
+    texts = [t for n in (30, 120, 400) for t in (prose(n) for _ in range(8)) for t in (t, *(edited(t, max(1, n * c // 100)) for c in (1, 2, 3, 4)))]
+    texts += [f"{prose(RNG.randrange(1, 30))} {line}" for _ in range(60)] + [edited(base, 1) for _ in range(60)] + TEXTS
+    for _ in range(12):
+        texts.append(edited(texts[-1] if len(words(texts[-1])) == 120 else base, 1))
+    RNG.shuffle(texts)
+    root, pairs = jaccard_groups(texts)
+    far = sum((plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() > 2 for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if root[i] == root[j])
+    assert pairs > 1000 and far > 100
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in P.near(spark, df, "").collect()) == sorted(set(root))
+    assert P.near(spark, empty, "").count() == 0
+
+
 def test_registry():
     names = [n.split("_")[0] for n in registry.queries()]
     assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and set(registry.oracle_sql()) <= set(registry.queries())
