@@ -249,3 +249,22 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 10
+
+
+def test_samples_of_a_busy_edge(spark, tmp_path):
+    """An edge of 1,500 observations, and one that was removed and came back with 1,300: no buffer's cap in the queries of samples."""
+    duckdb = pytest.importorskip("duckdb")
+    from tidegraph import queries as Q
+
+    start = dt.datetime(2024, 1, 30)
+    events = [(i, start + dt.timedelta(seconds=i), "error" if i % 7 == 0 else "click", float(i % 90), i % 2, '{"k": 10}') for i in range(3000)]
+    events[399] = (399, events[399][1], "signup", 1.0, 1, '{"k": 10}')
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, event_type string, value double, user_id long, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("tumbling_health", "restored_samples", "health_all_services", "health_service", "health_edges"):
+        got = getattr(Q, name)(spark, str(tmp_path))
+        want = con.execute(Q.SQL[name]).df()[got.columns]
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.itertuples(index=False, name=None))), name
+        assert name != "restored_samples" or got.count() == 1500 + 1300

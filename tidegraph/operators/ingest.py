@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import EDGE_STATE, HEARTBEAT, METADATA, OBSERVED, REMOVED
@@ -104,6 +104,20 @@ def live_edges(state: DataFrame) -> DataFrame:
     return state.where("live").select("source", "target", F.col("avg").alias("rolling_avg_latency_ms"), F.col("n").alias("sample_count"), F.col("last_obs").alias("last_observed_ts"), "samples")
 
 
+def live_observations(events: DataFrame, state: DataFrame) -> DataFrame:
+    """source, target, ts, latency_ms, status of all observations of each live edge since it came to life, without a cap.
+
+    These are the last n accepted ones: since then the tombstone has stood still, observations before it were stale, and no
+    accepted one of an earlier life is after it.
+    """
+    live = state.where("live").select("source", "target", "n", "tombstone")
+    seen = events.where(F.col("type") == OBSERVED).select("source", "target", "ts", "latency_ms", "status", "arrival_seq").join(live, ["source", "target"])
+    names = ["source", "target", "ts", "latency_ms", "status"]
+    back = Window.partitionBy("source", "target").orderBy(F.desc("arrival_seq"))
+    again = seen.where("ts >= tombstone").withColumn("_back", F.row_number().over(back)).where("_back <= n")
+    return seen.where("tombstone is null").select(*names).unionByName(again.select(*names))
+
+
 def live_topology(events: DataFrame) -> DataFrame:
     """source, target of the live edges, from two maxima: no order, no list, no state.
 

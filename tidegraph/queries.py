@@ -39,7 +39,9 @@ def _weighted(spark, sf_dir):
 
 
 def _samples(spark, sf_dir):
-    return A.samples_of(I.live_edges(_state(spark, sf_dir)))
+    """All observations of the live edges: the cap of the engine's buffer does not bear on these queries."""
+    e = I.first_arrivals(_events(spark, sf_dir))
+    return I.live_observations(e, I.edge_state(e))
 
 
 def _stamp(c: str):
