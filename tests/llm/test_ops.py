@@ -345,6 +345,19 @@ def test_pipeline_near_copies(spark, empty):
     assert P.near(spark, empty, "").count() == 0
 
 
+def test_pipeline_near_without_ids(spark):
+    """Null and repeated ids: one row of each group stays, rows without near copies all stay."""
+    import corpus_pipeline as P
+
+    one, two, three = prose(80), prose(80), prose(80)
+    given = [(None, prose(50)), (None, prose(50)), (None, one), (3, edited(one, 1)), (5, two), (5, edited(two, 1)), (6, prose(50)), (6, prose(50)), (8, three), (8, three), (None, None), (None, " ")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in given], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in P.near(spark, df, "").collect()]
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = [given[k] for k in (0, 1, 3, 6, 7, 8)] + [min(given[4:6], key=lambda r: sha(r[1])), min(given[10:], key=lambda r: sha(r[1]))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_registry():
     names = [n.split("_")[0] for n in registry.queries()]
     assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and set(registry.oracle_sql()) <= set(registry.queries())
