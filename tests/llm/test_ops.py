@@ -358,6 +358,13 @@ def test_pipeline_near_without_ids(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_secret_without_id(spark, tmp_path):
+    given = [(None, "password=abcdefgh"), (None, "plain"), (None, "api_key=123456789"), (4, "token: 123456789")]
+    found = secret_scan.secret_scan(spark.createDataFrame(given, "doc_id long, text string"), f"file://{tmp_path}/ledger").collect()
+    assert sorted((r["doc_id"] or 0, *r["spans"]) for r in found) == [(0,), (0, "assign:0:17"), (0, "assign:0:17"), (4, "assign:0:16")]
+    assert spark.read.parquet(f"{tmp_path}/ledger").count() == 4
+
+
 def test_registry():
     names = [n.split("_")[0] for n in registry.queries()]
     assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and set(registry.oracle_sql()) <= set(registry.queries())

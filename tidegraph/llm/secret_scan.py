@@ -62,7 +62,8 @@ def update_ledger(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col
         have = spark.read.parquet(ledger)
         unseen = unseen.join(have.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     # rows of a blob that repeat its smallest id are equal in text: any of them will do, so they are scanned alike and met again by distinct()
-    todo = rows.join(unseen.hint("shuffle_hash"), ["_id", "blob"], "left_semi").select("blob", "text")
+    same = rows["_id"].eqNullSafe(unseen["_id"]) & (rows["blob"] == unseen["blob"])  # a text may have no row with an id
+    todo = rows.join(unseen.hint("shuffle_hash"), same, "left_semi").select("blob", "text")
     scan(todo).withColumn("spans", F.transform("spans", lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["at"], s["until"]))).distinct().write.mode("append").option("compression", "zstd").parquet(ledger)
     return spark.read.parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
 
