@@ -28,4 +28,5 @@ def oracle_sql() -> dict:
         "op5_secret_scan": secret_scan.OP5_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
+        "op10_mixing": mixing.OP10_SQL,
     }
