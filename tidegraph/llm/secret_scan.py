@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import own_path, stored, table
 
 RULE_VERSION = "base-1"
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -13,31 +13,38 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
 LEAST_VALUE = 6
+#: Unseen blobs are broadcast up to this many rows (about 100 bytes each), so that later runs over few new texts shuffle none.
+MOST_BROADCAST = 50_000
+#: Elements of an array that are summed at a time.
+CHUNK = 128
 SPAN = "array<struct<at:bigint,kind:int,until:bigint>>"
 
 
+def _sums_before(values: Column) -> Column:
+    """For each element of an array of longs the sum of those before it, by chunks: work grows little faster than the array."""
+    add = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / CHUNK) - 1, F.lit(0)).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+    sums = F.transform(chunks, add)
+    starts = F.transform(sums, lambda _, c: add(F.slice(sums, F.lit(1), c)))
+    within = F.transform(chunks, lambda part: F.transform(part, lambda _, i: add(F.slice(part, F.lit(1), i))))
+    return F.flatten(F.zip_with(starts, within, lambda start, part: F.transform(part, lambda x: x + start)))
+
+
 def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None) -> Column:
     """Spans of the matches, in code points, end exclusive.
 
-    Texts between matches and the matches themselves, taken in order with the same pattern, add up to the text; their lengths are
-    the places. With a value group, matches whose group is shorter than LEAST_VALUE are dropped after matching.
+    Texts between matches and the matches themselves, taken in order with the same pattern, add up to the text; their lengths
+    are the places. With a value group, matches whose group is shorter than LEAST_VALUE are dropped after matching.
     ACCESS and HEX are runs taken whole, so their least length stands in the pattern: a shorter run holds no longer match.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), lambda x: F.length(x)) if value_group else found
-    parts = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("len"), sizes.alias("val")), lambda p: p["len"].isNotNull())
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<struct<at:bigint,kind:int,until:bigint,val:int>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["pos"] + p["gap"]
-        until = (at + p["len"]).cast("bigint")
-        return F.struct(until.alias("pos"), F.concat(acc["out"], F.array(F.struct(at.cast("bigint").alias("at"), F.lit(kind).alias("kind"), until.alias("until"), p["val"].cast("int").alias("val")))).alias("out"))
-
-    out = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    lengths = lambda parts: F.transform(parts, lambda x: F.length(x).cast("bigint"))
+    group = lambda g: lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)))
+    parts = F.filter(F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("gap"), group(0).alias("len")), lambda p: p["len"].isNotNull())
+    before = _sums_before(F.transform(parts, lambda p: p["gap"] + p["len"]))
+    out = F.arrays_zip(parts.alias("p"), before.alias("before"), group(value_group or 0).alias("val"))
     out = F.filter(out, lambda s: s["val"] >= (LEAST_VALUE if value_group else 0))
-    out = F.transform(out, lambda s: F.struct(s["at"].alias("at"), s["kind"].alias("kind"), s["until"].alias("until")))
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(SPAN))
+    spans = F.transform(out, lambda s: F.struct((s["before"] + s["p"]["gap"]).alias("at"), F.lit(kind).alias("kind"), (s["before"] + s["p"]["gap"] + s["p"]["len"]).alias("until")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 def scan(blobs: DataFrame) -> DataFrame:
@@ -51,8 +58,10 @@ def update_ledger(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col
     """Scan those texts of docs that the ledger at this path doesn't have under RULE_VERSION, add them, and return it.
 
     A text is addressed by its SHA-256. Of the rows that share one, the smallest id stands for all, chosen by a
-    grouped minimum; only those rows' texts go through a shuffle and the scan. The ledger is a Parquet folder in
-    shared storage to which each call appends; a call that is lost leaves no files, as Spark commits the whole write.
+    grouped minimum over digests; only those rows' texts reach the scan. Few unseen blobs (MOST_BROADCAST, measured) come to
+    the rows as a broadcast, so a run over a known corpus with some new texts shuffles digests alone; many are met by a
+    shuffled join. The ledger is a Parquet folder in shared storage to which each call appends; a call that is lost
+    leaves no files, as Spark commits the whole write.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
@@ -61,9 +70,11 @@ def update_ledger(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         have = spark.read.parquet(ledger)
         unseen = unseen.join(have.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
+    unseen = stored(unseen, "unseen")
+    unseen = unseen.hint("broadcast" if unseen.count() <= MOST_BROADCAST else "shuffle_hash")
     # rows of a blob that repeat its smallest id are equal in text: any of them will do, so they are scanned alike and met again by distinct()
     same = rows["_id"].eqNullSafe(unseen["_id"]) & (rows["blob"] == unseen["blob"])  # a text may have no row with an id
-    todo = rows.join(unseen.hint("shuffle_hash"), same, "left_semi").select("blob", "text")
+    todo = rows.join(unseen, same, "left_semi").select("blob", "text")
     scan(todo).withColumn("spans", F.transform("spans", lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["at"], s["until"]))).distinct().write.mode("append").option("compression", "zstd").parquet(ledger)
     return spark.read.parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
 
@@ -71,8 +82,10 @@ def update_ledger(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col
 def secret_scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id with blob and spans (array of kind:start:end) of each row, findings joined back to every copy of a text.
 
-    Edge cases: a null text is the empty text; texts without findings have an empty array; repeated rows each get a
-    row; an empty table gives none.
+    Edge cases: a null text is the empty text; texts without findings have an empty array; repeated rows, and rows of a
+    repeated or null id, each get a row with their own text's findings; spans that start alike stand in the order of KINDS;
+    a long text with many matches is worked off in chunks; columns of docs besides id and text play no part; an empty
+    table gives none.
     """
     found = update_ledger(docs, ledger, id_col, text_col).where(F.size("spans") > 0).select("blob", "spans")
     rows = docs.select(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
@@ -84,14 +97,12 @@ def _count_of(spans: Column, kind: str) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts from an empty ledger, a new folder beside the checkpoints. This method adds no spans to the base ones."""
-    from uuid import uuid4
-
+    """Starts from an empty ledger, a new folder in the shared one that goes at exit. This method adds no spans to the base ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = F.col("spans")
     count = [_count_of(spans, k).alias(f"n_{k}") for k in KINDS]
     joined = F.array_join(spans, ",")
-    return secret_scan(docs, f"{shared_dir(spark)}/ledger-{uuid4().hex}").select("doc_id", *count, F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
+    return secret_scan(docs, own_path(spark, "ledger")).select("doc_id", *count, F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
 def _sql_spans(kind: int, pattern: str, value_group: int | None) -> str:
