@@ -20,14 +20,22 @@ CHUNK = 128
 SPAN = "array<struct<at:bigint,kind:int,until:bigint>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once: an expression within a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sums_before(values: Column) -> Column:
-    """For each element of an array of longs the sum of those before it, by chunks: work grows little faster than the array."""
+    """For each element of an array of longs (a lambda's variable) the sum of those before it, by chunks: work grows little faster than the array."""
     add = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda total, x: total + x)
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / CHUNK) - 1, F.lit(0)).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
-    sums = F.transform(chunks, add)
-    starts = F.transform(sums, lambda _, c: add(F.slice(sums, F.lit(1), c)))
-    within = F.transform(chunks, lambda part: F.transform(part, lambda _, i: add(F.slice(part, F.lit(1), i))))
-    return F.flatten(F.zip_with(starts, within, lambda start, part: F.transform(part, lambda x: x + start)))
+    before = lambda part: F.transform(part, lambda _, i: add(F.slice(part, F.lit(1), i)))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / CHUNK) - 1, F.lit(0)).cast("int")), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def whole(chunks: Column) -> Column:
+        starts = _let(F.transform(chunks, add), before)
+        return F.flatten(F.zip_with(starts, chunks, lambda start, part: F.transform(before(part), lambda x: x + start)))
+
+    return _let(cut, whole)
 
 
 def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None) -> Column:
@@ -39,11 +47,15 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None
     """
     lengths = lambda parts: F.transform(parts, lambda x: F.length(x).cast("bigint"))
     group = lambda g: lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)))
-    parts = F.filter(F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("gap"), group(0).alias("len")), lambda p: p["len"].isNotNull())
-    before = _sums_before(F.transform(parts, lambda p: p["gap"] + p["len"]))
-    out = F.arrays_zip(parts.alias("p"), before.alias("before"), group(value_group or 0).alias("val"))
-    out = F.filter(out, lambda s: s["val"] >= (LEAST_VALUE if value_group else 0))
-    spans = F.transform(out, lambda s: F.struct((s["before"] + s["p"]["gap"]).alias("at"), F.lit(kind).alias("kind"), (s["before"] + s["p"]["gap"] + s["p"]["len"]).alias("until")))
+    zipped = F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("gap"), group(0).alias("len"), group(value_group or 0).alias("val"))
+    parts = F.filter(zipped, lambda p: p["len"].isNotNull())
+
+    def placed(parts: Column) -> Column:
+        before = _let(F.transform(parts, lambda p: p["gap"] + p["len"]), _sums_before)
+        return F.zip_with(parts, before, lambda p, b: F.struct((b + p["gap"]).alias("at"), F.lit(kind).alias("kind"), (b + p["gap"] + p["len"]).alias("until"), p["val"].alias("val")))
+
+    found = F.filter(_let(parts, placed), lambda s: s["val"] >= (LEAST_VALUE if value_group else 0))
+    spans = F.transform(found, lambda s: F.struct(s["at"].alias("at"), s["kind"].alias("kind"), s["until"].alias("until")))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
