@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, stored, table
-from .texts import Words, mixed, slices
+from .texts import Words, mixed, slices, utf8
 
 WINDOW = 20
 #: Words of an anchor, the phrase by which windows meet.
@@ -91,29 +91,41 @@ class _Letters(dict):
         return c
 
 
-def locate(pieces: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
+def _recurring(pieces: list[bytes], window: int) -> list[tuple[int, int]]:
+    """(piece, window) of the first of each run of equal window hashes that occurs more than once: hashed counts, no words compared."""
+    words = Words(pieces)
+    first = np.flatnonzero(np.arange(len(words)) + window <= words.last[words.text])
+    if not len(first):
+        return []
+    m = len(words) - window + 1
+    h = words.hash[:m].copy()
+    for j in range(1, window):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words.hash[j : m + j]
+    _, at, times = np.unique(h[first], return_index=True, return_counts=True)
+    at = first[np.sort(at[times > 1])]
+    piece = words.text[at]
+    return list(zip(piece.tolist(), (at - np.concatenate(([0], words.last[:-1]))[piece]).tolist(), strict=True))
+
+
+def locate(pieces: list[tuple[tuple, int, int, bytes]], window: int) -> list[tuple[tuple, int, int]]:
     """(doc, first window, number of windows) of the runs of windows that also start earlier.
 
     pieces: (doc, first window, number of windows, text), in order of place; any two equal windows of the corpus are
-    both among them, but for those that a shard has dropped itself. Windows that occur at several places are
-    confirmed by their words and compiled into an automaton, a letter for each word; all pieces stream through it.
+    both among them, but for those that a shard has dropped itself. Windows whose hash recurs among the pieces are compiled
+    into an automaton, a letter for each word, each with the place where it starts first. All pieces stream through
+    it: what it finds is equal word by word, so a window whose hash alone recurs is found at its own place and stays.
     """
     import ahocorasick
 
-    letters = _Letters()
-    strings = ["".join(map(letters.__getitem__, text.split())) for *_, text in pieces]
-    first, again = {}, set()
-    for (doc, at, n, _), s in zip(pieces, strings, strict=True):
-        for i in range(n):
-            w = s[i : i + window]
-            if first.setdefault(w, (doc, at + i)) != (doc, at + i):
-                again.add(w)
+    again = _recurring([text for *_, text in pieces], window)
     if not again:
         return []
+    letters = _Letters()
+    strings = ["".join(map(letters.__getitem__, text.split())) for *_, text in pieces]
     automaton = ahocorasick.Automaton()
-    for w in again:
-        automaton.add_word(w, first[w])
-    del first, again
+    for k, i in again:
+        doc, at, *_ = pieces[k]
+        automaton.add_word(strings[k][i : i + window], (doc, at + i))
     automaton.make_automaton()
     out = []
     for (doc, at, n, _), s in zip(pieces, strings, strict=True):
@@ -133,7 +145,7 @@ def locate(pieces: list[tuple[int, int, int, bytes]], window: int) -> list[tuple
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, hot_anchor: int = HOT_ANCHOR) -> tuple[DataFrame, int]:
-    """(doc_id, start, n: runs of windows to remove; number of shards).
+    """(id, h, start, n: runs of windows to remove; number of shards). A document is an id with a text, h the text's hash.
 
     1. Each text's anchors are counted for every shard of documents, packed, and added up by anchor.
     2. Shards learn which of their anchors recur, and send the text around those, a piece for each run of windows, to
@@ -143,14 +155,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     times automata; a passage in a third of all documents costs its bucket one piece a shard.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("id").isNotNull())
+    rows = _keyed(docs, id_col, text_col).where(F.col("id").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    rows = rows.withColumn("shard", _shard(shards))
 
     def count(batches):
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist()]
+            texts = utf8(b.column(0))
             shard_of = b.column(1).to_numpy()
             for lo, hi in slices(texts):
                 words = Words(texts[lo:hi])
@@ -182,7 +194,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = stored(counts.groupBy("bucket").applyInArrow(recurring, "shard int, h binary, hot binary"), "anchors")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [], [], [])
 
         def put(*row):
             for c, x in zip(out, row, strict=True):
@@ -193,8 +205,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         h_known, where = np.unique(h_known, return_index=True)
         hot_known = hot_known[where]
         if len(h_known) and left.num_rows:
-            docs_here = sorted(set(zip(left.column("id").to_pylist(), left.column("text").to_pylist(), strict=True)))
-            texts, seen = [t.encode("utf-8", "surrogatepass") for _, t in docs_here], set()
+            docs_here = sorted(set(zip(left.column("id").to_pylist(), left.column("h").to_pylist(), utf8(left.column("text")), strict=True)))
+            texts, seen = [t for *_, t in docs_here], set()
             for lo, hi in slices(texts):
                 words = Words(texts[lo:hi])
                 first, n, h = anchor_runs(words, window, ANCHOR)
@@ -206,18 +218,18 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     for i, m in [(i, 1) for i in range(k)] if hot else [(0, k)]:
                         piece = words.data[words.start[f + i] : words.end[f + i + m - 1 + window - 1]]
                         if piece in seen:
-                            put(None, docs_here[lo + d][0], at + i, m, None, None)
+                            put(None, *docs_here[lo + d][:2], at + i, m, None, None)
                             continue
                         seen.add(piece)
                         key = int(mixed(np.bitwise_xor.reduce(words.hash[f + i : f + i + window] * np.arange(1, 2 * window, 2, dtype=np.uint64), keepdims=True))[0]) if hot else a
-                        put(key % shards, docs_here[lo + d][0], at + i, m, key - (1 << 63), piece)
-        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "id", "start", "n", "anchor", "piece"])
+                        put(key % shards, *docs_here[lo + d][:2], at + i, m, key - (1 << 63), piece)
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "id", "h", "start", "n", "anchor", "piece"])
 
-    pieces = stored(rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(cut, "bucket int, id long, start int, n int, anchor long, piece binary"), "pieces")
+    pieces = stored(rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(cut, "bucket int, id long, h long, start int, n int, anchor long, piece binary"), "pieces")
     drop(known)
 
     def find(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("anchor", "ascending"), ("id", "ascending"), ("start", "ascending")])
+        t = t.sort_by([("anchor", "ascending"), ("id", "ascending"), ("h", "ascending"), ("start", "ascending")])
         anchor = t.column("anchor").to_numpy()
         n = t.column("n").to_numpy()
         ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
@@ -227,13 +239,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if end == len(anchor) or size[ends[k + 1]] - size[at] > AUTOMATON_WORDS:
                 part = t.slice(at, end - at)
                 if part.num_rows > 1 or n[at] > 1:
-                    part = part.sort_by([("id", "ascending"), ("start", "ascending")])
-                    out += locate(list(zip(*(part.column(c).to_pylist() for c in ("id", "start", "n", "piece")), strict=True)), window)
+                    part = part.sort_by([("id", "ascending"), ("h", "ascending"), ("start", "ascending")])
+                    own = zip(part.column("id").to_pylist(), part.column("h").to_pylist(), strict=True)
+                    out += locate(list(zip(own, *(part.column(c).to_pylist() for c in ("start", "n", "piece")), strict=True)), window)
                 at = end
-        return pa.table({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate((("id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())))})
+        flat = [(*doc, at, n) for doc, at, n in out]
+        return pa.table({c: pa.array([r[i] for r in flat], k) for i, (c, k) in enumerate((("id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32())))})
 
-    elsewhere = pieces.where("bucket is not null").groupBy("bucket").applyInArrow(find, "id long, start int, n int")
-    own = pieces.where("bucket is null").select("id", "start", "n")
+    elsewhere = pieces.where("bucket is not null").groupBy("bucket").applyInArrow(find, "id long, h long, start int, n int")
+    own = pieces.where("bucket is null").select("id", "h", "start", "n")
     found = stored(elsewhere.unionByName(own), "repeats")
     drop(pieces)
     return found, shards
@@ -244,20 +258,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A word goes if a window of `window` consecutive words that covers it also starts earlier: in a row of smaller id,
     or earlier in the same text. Edge cases: a null text has no words; texts shorter than a window stay whole; rows
-    that repeat id and text are one document and each get its result; rows without an id keep all their words; an
-    empty table gives none. Ids are taken to be unique otherwise.
+    that repeat id and text are one document and each get its result; different texts of one id are documents in the order of
+    their hashes; rows without an id keep all their words and lend none; bytes that are not UTF-8 count as they are;
+    a long text is one document like any other; columns of docs besides id and text play no part; an empty table gives none.
     """
     found, shards = repeated_windows(docs, id_col, text_col, window, **sizes)
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int").alias("shard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("id")
-        ids, start, n = (right.column(c).to_numpy() for c in ("id", "start", "n"))
+        right = right.sort_by([("id", "ascending"), ("h", "ascending")])
+        ids, hs, start, n = (right.column(c).to_numpy() for c in ("id", "h", "start", "n"))
+        new = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])))) if len(ids) else np.empty(0, np.int64)
+        spans = {(int(ids[a]), int(hs[a])): (a, b) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(ids)], strict=True)} if len(ids) else {}
         out: tuple[list, ...] = ([], [], [], [])
-        for doc, text in zip(left.column("id").to_pylist(), left.column("text").to_pylist(), strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
-            lo, hi = (0, 0) if doc is None else np.searchsorted(ids, [doc, doc + 1])
+        for doc, h, text in zip(left.column("id").to_pylist(), left.column("h").to_pylist(), utf8(left.column("text")), strict=True):
+            words = text.split()
+            lo, hi = spans.get((doc, h), (0, 0))
             total = len(words)
             if hi > lo:
                 change = np.zeros(total + 1, np.int64)
@@ -265,13 +280,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 np.add.at(change, start[lo:hi] + n[lo:hi] + window - 1, -1)
                 covered = np.cumsum(change[:-1]) > 0
                 words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-            for c, x in zip(out, (doc, total, total - len(words), b" ".join(words).decode("utf-8", "surrogatepass")), strict=True):
+            for c, x in zip(out, (doc, total, total - len(words), b" ".join(words)), strict=True):
                 c.append(x)
-        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["id", "n_words", "n_removed", "kept"])
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "n_words", "n_removed", "kept"])
+
+    left = _keyed(docs, id_col, text_col).withColumn("shard", _shard(shards)).groupBy("shard")
+    right = found.withColumn("shard", _shard(shards)).groupBy("shard")
+    out = left.cogroup(right).applyInArrow(apply, "id long, n_words long, n_removed long, kept binary")
+    return out.withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("id", id_col)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
 
-    left = rows.withColumn("shard", shard("id")).groupBy("shard")
-    right = found.withColumn("shard", shard("id")).groupBy("shard")
-    return left.cogroup(right).applyInArrow(apply, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+def _shard(shards: int):
+    """Of a document by id and text, so that rows without an id are dealt out like all others."""
+    return F.pmod(F.xxhash64("id", "h"), F.lit(shards)).cast("int")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

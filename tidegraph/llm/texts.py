@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -11,6 +12,12 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """The bytes of a column of strings, whether they are valid UTF-8 or not; null counts as empty."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """The finalizer of SplitMix64."""
     h = h ^ (h >> np.uint64(30))
