@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, stored, table
+from .common import stored, table
 from .components import connected_components
+from .texts import utf8
 
 SHINGLE_WORDS = 3
 BUDGET = 2
@@ -18,13 +19,15 @@ BUDGET = 2
 BLOCKS = BUDGET + 2
 #: Node pairs that one step of the trie traversal expands at a time.
 STEP_PAIRS = 1 << 19
+#: Fingerprints that a task holds before it joins the tries it has whole; a single larger trie is held whole.
+HELD_KEYS = 1 << 20
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of the word shingles, repeats included, over XXH64 with seed 42. No words: 0."""
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of a UTF-8 text's word shingles, repeats included, over XXH64 with seed 42. No words: 0."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII blanks only
+    words = text.lower().split()  # of bytes: A-Z and ASCII blanks only
     if not words:
         return 0
     joined = b" ".join(words)
@@ -41,15 +44,15 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of each row."""
+    """id and fp (the fingerprint as a signed long) of each row. Bytes that are not UTF-8 count as they are."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle_words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle_words) for t in utf8(b.column(1))], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -120,7 +123,7 @@ def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) ->
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n places the least place that the links reach."""
     root = np.arange(n)
-    while True:
+    while len(i):
         low = np.minimum(root[i], root[j])
         new = root.copy()
         np.minimum.at(new, root[i], low)
@@ -129,8 +132,9 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         while not np.array_equal(new, new[new]):
             new = new[new]
         if np.array_equal(new, root):
-            return root
+            break
         root = new
+    return root
 
 
 def _block_order(chosen: tuple[int, ...], blocks: int) -> list[tuple[int, int]]:
@@ -153,8 +157,8 @@ def near_fingerprints(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     Every choice of two of the budget + 2 blocks has a trie of its own, in which those blocks come first and must be
     equal; each pair within the budget meets in one of them at least. The tries are dealt out by the equal blocks'
-    bits. A task joins its tries with themselves and returns, in place of all its pairs, a link from each
-    fingerprint to the least one that it is connected to.
+    bits and come to a task in their order, so that it holds some at a time. It joins them with themselves and returns, in
+    place of all pairs, a link from each fingerprint to the least one that it is connected to.
     """
     blocks = budget + 2
     choices = list(combinations(range(blocks), 2))
@@ -168,24 +172,36 @@ def near_fingerprints(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
                 top = t >> np.uint64(64 - order[0][1] - order[1][1])
                 yield pa.record_batch([pa.array(np.full(len(t), c, np.int32)), pa.array(top.view(np.int64)), pa.array(t.view(np.int64))], names=["c", "top", "t"])
 
+    def links(c: int, t: np.ndarray):
+        order = _block_order(choices[c], blocks)
+        keys = np.unique(t)
+        i, j = trie_links(keys, order[0][1] + order[1][1], budget)
+        root = _roots(len(keys), i, j)
+        moved = np.flatnonzero(root != np.arange(len(keys)))
+        back = _inverse(order)
+        return pa.record_batch([pa.array(turned(keys[moved], back).view(np.int64)), pa.array(turned(keys[root[moved]], back).view(np.int64))], names=["a", "b"])
+
     def join(batches):
-        parts = [(b.column(0).to_numpy(), b.column(2).to_numpy().view(np.uint64)) for b in batches]
-        if not parts:
-            return
-        c_all, t_all = (np.concatenate(x) for x in zip(*parts, strict=True))
-        for c, chosen in enumerate(choices):
-            order = _block_order(chosen, blocks)
-            keys = np.unique(t_all[c_all == c])
-            i, j = trie_links(keys, order[0][1] + order[1][1], budget)
-            if not len(i):
-                continue
-            root = _roots(len(keys), i, j)
-            moved = np.flatnonzero(root != np.arange(len(keys)))
-            back = _inverse(order)
-            yield pa.record_batch([pa.array(turned(keys[moved], back).view(np.int64)), pa.array(turned(keys[root[moved]], back).view(np.int64))], names=["a", "b"])
+        """Tries come one after another; whole ones are joined as soon as HELD_KEYS fingerprints are there."""
+        held: dict[int, list] = {}
+        n = 0
+        for b in batches:
+            c_all, top_all, t_all = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+            ends = np.flatnonzero((c_all[1:] != c_all[:-1]) | (top_all[1:] != top_all[:-1])) + 1
+            at = 0
+            for end in [*ends.tolist(), len(c_all)]:
+                here = (int(c_all[at]), int(top_all[at]))
+                if n >= HELD_KEYS and here != last:
+                    for c, parts in held.items():
+                        yield links(c, np.concatenate(parts))
+                    held, n = {}, 0
+                held.setdefault(here[0], []).append(t_all[at:end])
+                n, at, last = n + end - at, end, here
+        for c, parts in held.items():
+            yield links(c, np.concatenate(parts))
 
     dealt = fps.select("fp").mapInArrow(deal, "c int, top long, t long")
-    return dealt.repartition("c", "top").mapInArrow(join, "a long, b long")
+    return dealt.repartition("c", "top").sortWithinPartitions("c", "top").mapInArrow(join, "a long, b long")
 
 
 def _inverse(order: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -201,7 +217,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, fp, component_id (the least id of the near-duplicate group) of each row.
 
     Edge cases: null, empty and blank texts have fingerprint zero and form one group with whatever is within the
-    budget of it; rows that repeat an id count as documents of that id; an empty table gives none.
+    budget of it; bytes that are not UTF-8 count as they are; long texts are hashed in pieces of 65,536 shingles; rows that
+    repeat an id, with whatever text, each have their row, and the id counts for each group they are in; rows without an id have a
+    row, but name a group only where none of its rows has one; columns of docs besides id and text play no part; an
+    empty table gives none.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min(id_col).alias("_least"))
