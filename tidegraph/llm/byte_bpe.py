@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import clean_text, table
 
 LEAF_BYTES = 24
 #: Pieces of text whose ids a worker remembers; as many again of those before them.
@@ -162,7 +162,12 @@ def _vocabulary(spark: SparkSession, ranks_path: str | None, pattern: str | None
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """id and ids (array of int) of each row. Null texts count as empty and have no ids; repeated rows each get a row."""
+    """id and ids (array of int) of each row.
+
+    Edge cases: null texts count as empty and have no ids; bytes that are not UTF-8 are encoded as U+FFFD; a long piece is
+    encoded by halves, whatever its length; rows that repeat an id, or have none, each get a row; other columns of docs
+    play no part; an empty table gives none.
+    """
     shared, pattern = _vocabulary(docs.sparkSession, ranks_path, pattern)
 
     def run(batches):
@@ -173,7 +178,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.record_batch([part.column(0), pa.array([codec.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), clean_text(F.col(text_col)).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ranks_path: str | None = None) -> DataFrame:
@@ -190,7 +195,10 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ranks_path: str
 
 
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, decoded again and digested where it is read."""
+    """id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, decoded again and digested where it is read.
+
+    Edge cases as in encode_documents; without ids both digests are those of nothing.
+    """
     shared, pattern = _vocabulary(docs.sparkSession, ranks_path, pattern)
 
     def run(batches):
@@ -206,7 +214,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), clean_text(F.col(text_col)).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

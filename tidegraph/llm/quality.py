@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .texts import Words, slices
+from .texts import Words, slices, utf8
 
 GRADES = 3
 WORD_BITS = 16
@@ -118,7 +118,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
-    """The model, fitted on the driver to at most sample_rows rated rows, which come as features; None without any."""
+    """The model, fitted on the driver to at most sample_rows rated rows, which come as features; None without any.
+
+    Documents that repeat a rated id all count with its grade; ratings of ids without a document count for nothing.
+    """
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -126,7 +129,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, i
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                row, col, val = features([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
+                row, col, val = features(utf8(part.column(1)))
                 at = np.searchsorted(row, np.arange(part.num_rows + 1))
                 spans = list(zip(at, at[1:], strict=False))
                 yield pa.record_batch([part.column(0), part.column(2), pa.array([col[a:z].astype(np.int32).tobytes() for a, z in spans]), pa.array([val[a:z].astype(np.float32).tobytes() for a, z in spans])], names=["doc_id", "grade", "cols", "vals"])
@@ -143,8 +146,10 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, i
 def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> DataFrame:
     """docs with expected_grade, tail_prob (the probability of the highest grade) and kept.
 
-    Edge cases: null texts count as empty and have the score of a text without words; without a model (no ratings)
-    both numbers are null and every row is kept; columns of docs with these names are replaced.
+    Edge cases: null texts count as empty and have the score of a text without words; bytes that are not UTF-8 count as
+    they are; a long text is scored whole, by itself; rows that repeat an id, or have none, are scored each by its own text;
+    without a model (no ratings) both numbers are null and every row is kept; columns of docs with these names are
+    replaced; an empty table gives none.
     """
     docs = docs.drop("expected_grade", "tail_prob", "kept")
     if model is None:
@@ -153,7 +158,7 @@ def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> Dat
 
     def run(batches):
         for b in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(at).to_pylist()]
+            texts = utf8(b.column(at))
             s = np.concatenate([shared.value.scores(texts[lo:hi]) for lo, hi in slices(texts)] or [np.empty(0)])
             tails = shared.value.tails(s)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], names=[*b.schema.names, "expected_grade", "tail_prob"])
