@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm import byte_bpe, exact_dedup, license_scan, maxscore, mixing, quality, registry, secret_scan, simhash, substring_dedup, url_filter
+from tidegraph.llm import byte_bpe, exact_dedup, license_scan, maxscore, mixing, near_copies, quality, registry, secret_scan, simhash, substring_dedup, url_filter
 from tidegraph.llm.common import n_words
 from tidegraph.llm.components import connected_components
+from tidegraph.llm.texts import Words
 
 RNG = random.Random(5)
 VOCAB = [f"w{i}" for i in range(40)] + ["the", "of", "ünï", "Große", "x=1;"]
@@ -58,28 +59,63 @@ def test_word_count(docs):
 
 
 def plain_dedup(given, w=20):
+    """By document: given in the order of (id, hash of the text)."""
     seen, out = set(), {}
-    for i, t, *_ in sorted(given, key=lambda r: r[0]):
+    for i, t, *_ in given:
         ws, gone = words(t), set()
         for s in range(len(ws) - w + 1):
             key = tuple(ws[s : s + w])
             if key in seen:
                 gone.update(range(s, s + w))
             seen.add(key)
-        out[i] = (len(ws), len(gone), " ".join(x for k, x in enumerate(ws) if k not in gone))
+        out[i, t or ""] = (len(ws), len(gone), " ".join(x for k, x in enumerate(ws) if k not in gone))
     return out
 
 
+def by_text(df, out):
+    """(id, text) -> result, by way of the numbers of words; texts of one id differ in them here."""
+    sizes = {(r["doc_id"], len(words(r["text"]))): r["text"] or "" for r in df.collect()}
+    return {(r[0], sizes[r[0], r[1]]): tuple(r[1:]) for r in out}
+
+
 @pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 2000}, {"shard_bytes": 2000, "hot_anchor": 1}])
 def test_substring_dedup(docs, empty, sizes):
     got = {r[0]: tuple(r[1:]) for r in substring_dedup.dedup_substrings(docs, **sizes).collect()}
-    assert got == plain_dedup(rows())
+    assert got == {i: v for (i, _), v in plain_dedup(rows()).items()}
     if not sizes:
         twice = substring_dedup.dedup_substrings(docs.unionByName(docs)).collect()
         assert len(twice) == 2 * len(TEXTS) and {r[0]: tuple(r[1:]) for r in twice} == got
         assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_of_odd_ids(spark):
+    """One id with several texts, rows without an id."""
+    one, two = prose(70), prose(90)
+    given = [(4, f"{prose(20)} {one}"), (4, f"{one} {prose(25)}"), (4, f"{two} {one}"), (2, f"{prose(31)} {two}"), (None, one), (None, two), (9, None)]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted((r for r in given if r[0] is not None), key=lambda r: (r[0], h[r[1]]))
+    for sizes in ({}, {"shard_bytes": 300}):
+        got = by_text(df, substring_dedup.dedup_substrings(df, **sizes).collect())
+        want = plain_dedup(order) | {(None, t): (len(words(t)), 0, t) for t in (one, two)}
+        assert got == want
+
+
+def test_hashes_that_meet(monkeypatch):
+    """Windows whose hashes alone are equal: the automaton keeps them apart."""
+    monkeypatch.setattr(substring_dedup, "Words", SameHash)
+    texts = [prose(30), prose(30), PASSAGE]
+    pieces = [((i, 0), 0, len(words(t)) - 19, t.encode()) for i, t in enumerate([*texts, PASSAGE])]
+    assert substring_dedup.locate(pieces, 20) == []  # one hash for all: the first window stands for it, and no other is equal to that
+    assert substring_dedup.locate([pieces[2], ((7, 0), *pieces[2][1:])], 20) == [((7, 0), 0, 1)]
+
+
+class SameHash(Words):
+    def __init__(self, texts, stem_bytes=0):
+        super().__init__(texts, stem_bytes)
+        self.hash = self.hash * 0
+
+
 def test_exact_dedup(docs, empty):
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect()}
     same = {}
@@ -91,6 +127,21 @@ def test_exact_dedup(docs, empty):
     assert len(twice) == 2 and {(r["group_size"], r["kept"]) for r in twice} == {(2, True)}
 
 
+def test_unique_texts(spark, docs, empty):
+    same = {}
+    for i, t, *_ in rows():
+        same.setdefault(t or "", []).append(i)
+    once = exact_dedup.unique(docs)
+    assert once.columns == docs.columns and sorted(r["doc_id"] for r in once.collect()) == sorted(max(v) for v in same.values())
+    assert sorted(r["doc_id"] for r in exact_dedup.unique(docs.unionByName(docs)).collect()) == sorted(max(v) for v in same.values())
+    given = [(None, "a"), (None, "a"), (3, "a"), (None, "b"), (None, "b"), (5, "c"), (5, "c"), (5, "d"), (1, None), (2, "")] + [(k, "x" * 300 + str(k)) for k in range(30)]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"] or "") for r in exact_dedup.unique(df).collect() if r["doc_id"] is not None)
+    assert got == sorted([(3, "a"), (5, "c"), (5, "d"), (2, "")] + given[10:])
+    assert exact_dedup.unique(df).where("doc_id is null").collect()[0]["text"] == "b" and exact_dedup.unique(df).count() == 35
+    assert exact_dedup.unique(empty).count() == 0
+
+
 def test_secret_scan(spark, docs, empty, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(docs, ledger).collect()}
@@ -104,10 +155,49 @@ def test_secret_scan(spark, docs, empty, tmp_path):
     assert secret_scan.secret_scan(empty, f"file://{tmp_path}/other").count() == 0
 
 
-def test_license_scan(docs, empty):
+def test_secrets_of_a_long_text(spark, tmp_path):
+    """20,000 matches in one text; each kind against re."""
+    text = " ".join(f"token = {'abcdef0123456789' * 2}{i:05d}" if i % 2 else f"x é AKIA{i:016d}" for i in range(20_000))
+    found = secret_scan.secret_scan(spark.createDataFrame([(1, text), (1, "none"), (2, text)], "doc_id long, text string"), f"file://{tmp_path}/ledger").where("size(spans) > 0").collect()
+    kinds = (("assign", r"token = ([A-Za-z0-9+/_.=-]+)"), ("access", "AKIA[A-Z0-9]{16,}"), ("hex", "[0-9a-f]{24,}"))
+    want = [f"{k}:{a}:{b}" for a, _, b, k in sorted((m.start(), n, m.end(), k) for n, (k, p) in enumerate(kinds) for m in re.finditer(p, text))]
+    assert len(want) > 20_000 and [r["spans"] for r in found] == [want, want]
+
+
+def plain_licenses(given):
+    def shingles(t):
+        ws = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) if w]
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+    sets = [(name, shingles(t)) for name, t in license_scan.TEMPLATES]
+    out = []
+    for i, t, *_ in given:
+        have = shingles(t)
+        out += [(i, name, round(len(s & have) / len(s), 9)) for name, s in sets if len(s & have) / len(s) >= 0.8]
+    return sorted(out, key=str)
+
+
+def test_license_scan(spark, docs, empty):
     got = {(r["doc_id"], r["license"]): r["containment"] for r in license_scan.license_scan(docs).collect()}
     assert got == {(84, "apache-2.0"): 1.0, (91, "mit"): 1.0}
     assert license_scan.license_scan(empty).count() == 0
+    assert license_scan.license_scan(docs, license_scan.template_table(spark, [("short", "two words")])).count() == 0
+    bodies = [t for _, t in license_scan.TEMPLATES]
+    texts = [f"{prose(RNG.randrange(40))} {t} {prose(RNG.randrange(40))}" for t in bodies * 3]
+    texts += [f"{prose(9)} {edited(t, max(1, len(t.split()) // 50))} {prose(9)}" for t in bodies * 3] + [" ".join(bodies), None, "of the MIT", *TEXTS]
+    given = [(None if i % 9 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(given, "doc_id long, text string").withColumn("license", F.lit("clash"))
+    found = sorted(((r["doc_id"], r["license"], round(r["containment"], 9)) for r in license_scan.license_scan(df).collect()), key=str)
+    assert found == plain_licenses(given) and len(found) > 100
+    assert license_scan.license_scan(df.unionByName(df)).count() == 2 * len(found)
+
+
+def test_license_scan_of_a_long_text(spark):
+    """50,000 words of nothing but licenses: each counts once, and work grows with the text."""
+    text = " ".join(t for _, t in license_scan.TEMPLATES * 60)
+    assert len(text.split()) > 40_000
+    got = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted(r["license"] for r in got) == sorted(n for n, _ in license_scan.TEMPLATES) and {r["containment"] for r in got} == {1.0}
 
 
 def test_byte_bpe(docs, empty):
@@ -131,6 +221,22 @@ def test_byte_bpe(docs, empty):
             assert codec.reduce(s.encode()) == want.encode_ordinary(s) or len(codec.pieces(s)) > 1
 
 
+def test_bytes_that_are_not_utf8(spark):
+    """Every Python stage has a result for them: as they are where words are bytes, as U+FFFD for the tokenizer."""
+    bad = F.concat(F.lit(prose(30) + " "), F.unhex(F.lit("ff41c328")).cast("string"), F.lit(" " + prose(30)))
+    df = spark.range(4).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, bad).otherwise(F.lit(PASSAGE)).alias("text"), F.lit("a").alias("source"))
+    got = {r[0]: (r[1], r[2]) for r in substring_dedup.dedup_substrings(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert got[0] == (61, 0) and got[1] == (61, 61) and got[3] == (60, 60)
+    assert substring_dedup.dedup_substrings(df).select(F.hex("kept")).where("doc_id = 0").first()[0].count("FF41C328") == 1
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()}
+    assert groups == {0: 0, 1: 0, 2: 2, 3: 2}
+    back = {r[0]: bytes(r[1]).decode() for r in byte_bpe.decode_documents(byte_bpe.encode_documents(df)).collect()}
+    assert "\ufffd" in back[0] and back[2] == PASSAGE and byte_bpe.token_digests(df.unionByName(df)).count() == 8
+    model = quality.train(df, spark.createDataFrame([(0, 1), (2, 2)], "doc_id long, grade int"))
+    assert quality.score(df, model).where("tail_prob is not null").count() == 4
+    assert sorted(r["doc_id"] for r in near_copies.without_near_copies(df).select("doc_id").collect()) == [0, 2]
+
+
 def plain_fingerprint(t):
     import xxhash
 
@@ -196,6 +302,30 @@ def test_maxscore(spark):
         scored = sorted((-sum(a * b for a, b in zip(ints[q], x, strict=False)), i) for i, x in ints.items() if i != q)[:20]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     assert maxscore.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+    assert maxscore.top_k(df, F.col("id") < 0).count() == 0
+
+
+def test_maxscore_of_repeated_ids(spark):
+    """Every row is a candidate, and a query if its id is one."""
+    df = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [1.0]), (1, [3.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in maxscore.top_k(df, F.col("id") == 0, scale=1).collect())
+    assert got == sorted([(0, 1, 1, 3), (0, 2, 0, 2), (0, 3, 1, 1), (0, 1, 1, 6), (0, 2, 0, 2), (0, 3, 1, 2)])
+
+
+def test_maxscore_prunes_and_stays_exact():
+    """Long tails of small terms: most are non-essential once thresholds are there."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    scale = np.where(np.arange(48) < 6, 60, 3)
+    d = np.floor(rng.normal(size=(9000, 48)) * scale)
+    q = d[::300]
+    row = np.arange(len(d))
+    at, ids, scores = maxscore.maxscore(row[::300], q, row, row % 4000, d.T.copy(), 20)
+    for i in range(len(q)):
+        s = d @ q[i]
+        want = sorted((-s[j], j % 4000) for j in range(len(d)) if j != 300 * i)[:20]
+        assert [(-b, c) for c, b in zip(ids[at == i], scores[at == i], strict=True)] == want
 
 
 def test_url_filter(spark):
@@ -213,34 +343,76 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(p.limit(0), o).count() == 0
 
 
-def test_targets():
-    assert mixing.target_words([100, 100, 100], [5, 2, 1]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert sum(mixing.target_words([10, 1000, 500, 0], [5, 2, 1, 5])) == pytest.approx(1.5 * 1510)
+def plain_targets(sizes, weights, share=1.5, most=2):
+    targets, free, left = [0.0] * len(sizes), list(range(len(sizes))), share * sum(sizes)
+    while free:
+        scale = left / sum(weights[i] for i in free)
+        over = [i for i in free if weights[i] * scale > most * sizes[i]]
+        for i in over or free:
+            targets[i] = float(most * sizes[i]) if over else weights[i] * scale
+            left -= targets[i] if over else 0
+        free = [i for i in free if i not in over] if over else []
+    return targets
+
+
+def test_targets(spark):
+    assert plain_targets([100, 100, 100], [5, 2, 1]) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
+    for sizes in ([100, 100, 100], [10, 1000, 500, 0], [0, 0], [7], [RNG.randrange(1000) for _ in range(40)], [1] * 9 + [10**9]):
+        names = [None if i == len(sizes) - 1 else f"s{i:03d}" for i in range(len(sizes))]
+        got = mixing.source_table(spark.createDataFrame(list(zip(names, sizes)), "source string, words long")).orderBy("k").collect()
+        assert [r["target"] for r in got] == pytest.approx(plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))]))
+        assert [r["source"] for r in got] == names and all(r["quota"] <= 2 * r["blocks"] for r in got)
 
 
 def test_mixing(spark, docs, empty):
     many = [(i, prose(RNG.randrange(0, 400)), "en", RNG.choice(["a", "b", "c", None]), 0) for i in range(400)]
-    df = spark.createDataFrame(many, SCHEMA).withColumn("_size", F.lit("clash"))
-    out = mixing.mix(df.drop("_size")).collect()
-    assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.mix(df.drop("_size").repartition(7)).collect()))
-    size, taken, of_source = {r[0]: len(words(r[1])) for r in many}, {}, {}
+    many += [many[3], many[3], many[8]]  # repeated rows
+    clash = ("_size", "epoch", "_n", "_row", "row", "k", "size", "copy", "words", "_doc", "block", "_spans")
+    df = spark.createDataFrame(many, SCHEMA).select("*", *(F.lit("orig").alias(c) for c in clash))
+    out = mixing.mix(df).collect()
+    assert mixing.mix(df).columns == df.columns and all(r[c] == "orig" for r in out for c in clash)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    size, taken, of_source, times = {r[0]: len(words(r[1])) for r in many}, {}, {}, {}
+    for r in many:
+        times[r[0]] = times.get(r[0], 0) + 1
     for r in out:
         assert r["n_chars"] == len(r["text"]) or r["text"] == many[r["doc_id"]][1]
         assert set(words(r["text"])) <= set(words(many[r["doc_id"]][1]))
         taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(words(r["text"]))
         of_source[r["source"]] = of_source.get(r["source"], 0) + len(words(r["text"]))
-    assert all(n <= 2 * size[i] for i, n in taken.items())
+    assert all(n <= 2 * size[i] * times[i] for i, n in taken.items())
     names = ["a", "b", "c", None]
-    target = mixing.target_words([sum(size[r[0]] for r in many if r[3] == s) for s in names], [5, 2, 1, 5])
+    target = plain_targets([sum(len(words(r[1])) for r in many if r[3] == s) for s in names], [5, 2, 1, 5])
     assert all(abs(of_source[s] - t) <= 0.03 * t + 2 * mixing.BLOCK_WORDS for s, t in zip(names, target, strict=True))
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(docs.select(*SCHEMA.names).where("doc_id <= 14")).count() == 0  # no words at all
 
 
+def test_mixing_query(spark, tmp_path):
+    """op10 against its SQL on a small table with nulls, repeated rows and many sources; sums of both come near the targets."""
+    duckdb = pytest.importorskip("duckdb")
+    given = [(None if i % 50 == 0 else i, None if i % 41 == 0 else prose(RNG.randrange(0, 300)), None if i % 7 == 0 else f"s{i % 11}") for i in range(300)]
+    given += given[:40] + [given[60]] * 5
+    spark.createDataFrame(given, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(str, (tuple(r) for r in mixing.op10_mixing(spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.OP10_SQL).fetchall()
+    assert got == sorted(map(str, want)) and len(want) == len(given)
+    sums = {}
+    for _, size, words_, target, taken in want:
+        assert taken <= 2 * size
+        sums[words_, target] = sums.get((words_, target), 0) + taken
+    assert all(abs(n - t) <= 2 * mixing.BLOCK_WORDS for (_, t), n in sums.items())
+
+
 def test_permutation(spark):
     for n in (1, 2, 3, 10, 257):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(1), F.lit(n))).collect()
         assert sorted(r[0] for r in got) == list(range(n))
+    for n in (2**31 + 5, 130_000_000_000, 2**60 - 1):
+        got = [r[0] for r in spark.range(500).select(mixing.permuted(F.lit(n - 1) - F.col("id") * 1_000_003, F.lit(n), F.lit(1))).collect()]
+        assert len(set(got)) == 500 and 0 <= min(got) and max(got) < n and max(got) - min(got) > n // 2
 
 
 def test_quality(spark, docs, empty):
