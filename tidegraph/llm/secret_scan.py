@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_path, stored, table
+from .common import in_sieve, own_path, sieve, stored, table
 
 RULE_VERSION = "base-1"
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -13,8 +13,6 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
 LEAST_VALUE = 6
-#: Unseen blobs are broadcast up to this many rows (about 100 bytes each), so that later runs over few new texts shuffle none.
-MOST_BROADCAST = 50_000
 #: Elements of an array that are summed at a time.
 CHUNK = 128
 SPAN = "array<struct<at:bigint,kind:int,until:bigint>>"
@@ -70,9 +68,8 @@ def update_ledger(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col
     """Scan those texts of docs that the ledger at this path doesn't have under RULE_VERSION, add them, and return it.
 
     A text is addressed by its SHA-256. Of the rows that share one, the smallest id stands for all, chosen by a
-    grouped minimum over digests; only those rows' texts reach the scan. Few unseen blobs (MOST_BROADCAST, measured) come to
-    the rows as a broadcast, so a run over a known corpus with some new texts shuffles digests alone; many are met by a
-    shuffled join. The ledger is a Parquet folder in shared storage to which each call appends; a call that is lost
+    grouped minimum over digests; only those rows' texts reach the scan. A sieve of them, of bounded size, comes back to the
+    rows, and what passes it meets them in a join: a run over a known corpus with some new texts shuffles no others. The ledger is a Parquet folder in shared storage to which each call appends; a call that is lost
     leaves no files, as Spark commits the whole write.
     """
     spark = docs.sparkSession
@@ -83,10 +80,11 @@ def update_ledger(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col
         have = spark.read.parquet(ledger)
         unseen = unseen.join(have.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     unseen = stored(unseen, "unseen")
-    unseen = unseen.hint("broadcast" if unseen.count() <= MOST_BROADCAST else "shuffle_hash")
+    key = F.xxhash64("blob", "_id")
+    bits, words = sieve(unseen, key)
     # rows of a blob that repeat its smallest id are equal in text: any of them will do, so they are scanned alike and met again by distinct()
     same = rows["_id"].eqNullSafe(unseen["_id"]) & (rows["blob"] == unseen["blob"])  # a text may have no row with an id
-    todo = rows.join(unseen, same, "left_semi").select("blob", "text")
+    todo = rows.where(in_sieve(bits, words, key)).join(unseen.hint("shuffle_hash"), same, "left_semi").select("blob", "text")
     scan(todo).withColumn("spans", F.transform("spans", lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["at"], s["until"]))).distinct().write.mode("append").option("compression", "zstd").parquet(ledger)
     return spark.read.parquet(ledger).where(F.col("rule_version") == RULE_VERSION)
 
