@@ -26,8 +26,11 @@ class HealthConfig:
 class IngestConfig:
     max_events_per_trigger: int = 10_000
     on_overflow: str = "block"
+    max_files_per_trigger: int = 10
+    trigger_seconds: int = 1
 
     def __post_init__(self):
+        _need(self.max_files_per_trigger > 0 and self.trigger_seconds > 0, "files and seconds per trigger must be positive")
         _need(self.max_events_per_trigger > 0, "max_events_per_trigger must be positive")
         _need(self.on_overflow in ("block", "shed"), "on_overflow is block or shed")
 

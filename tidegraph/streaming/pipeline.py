@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,50 +12,60 @@ from ..config import HealthConfig, IngestConfig
 from ..errors import PipelineClosed
 from ..operators.ingest import edge_state, first_arrivals, merge_nodes
 from ..scratch import kept
-from ..sources.decode import decode
+from ..sources.decode import decode_files
 from ..sources.store import Store
 
 
 def apply_batch(store: Store, version: int, events: DataFrame, health: HealthConfig = HealthConfig(), oldest=None) -> dict:
     """Fold deduplicated events into the state and commit it as this version; a version that is committed is skipped.
 
-    Counts of applied events and duplicates come back. All or nothing: a batch that fails leaves no state behind.
+    Counts of applied events and duplicates come back. All or nothing: a batch that fails leaves no state behind. Samples
+    before `oldest` go as the state is written.
     """
     state = store.load()
     if version <= state.version:
         return {"version": version, "skipped": True}
-    total = events.count()
-    within = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    events = kept(events)  # decoded once
+    total, ids = events.agg(F.count(F.lit(1)), F.count_distinct("event_id")).first()
     fresh = kept(first_arrivals(events, state.processed))
     edges = kept(edge_state(fresh, state.edge_state, health.max_samples_per_edge, oldest))
     store.commit(version, merge_nodes(fresh, edges, state.nodes), edges, fresh.select("event_id"), oldest)
     applied = fresh.count()
-    return {"version": version, "received": total, "applied": applied, "duplicates_in_batch": within, "duplicates_before": total - within - applied}
+    return {"version": version, "received": total, "applied": applied, "duplicates_in_batch": total - ids, "duplicates_before": ids - applied}
 
 
-def stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, config: IngestConfig = IngestConfig(), health: HealthConfig = HealthConfig(), available_now: bool = True) -> StreamingQuery:
-    """Files of JSON arrays in a folder, in order of their appearance, through decode and apply_batch.
+def stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, config: IngestConfig = IngestConfig(), health: HealthConfig = HealthConfig(), available_now: bool = True, clock=None) -> StreamingQuery:
+    """Files of JSON arrays in a folder, in order of their appearance (within one trigger, of their paths), through decode and apply_batch.
 
-    The source is pulled, so a slow state holds back reading: nothing is dropped. Faulty events go to the folder
-    quarantine beside the state, valid ones of the same file are applied. A killed batch runs again from the
-    checkpoint and is skipped if its version stands.
+    The source is pulled, so a slow state holds back reading: nothing is dropped. Faulty events, and files that are no
+    array, go to the folder quarantine beside the state; valid events of the same file are applied. Samples older than
+    the health window by `clock` (the time now) go with each batch. A killed batch runs again from the checkpoint and is
+    skipped if its version stands.
     """
+    now = clock or (lambda: dt.datetime.now(dt.timezone.utc))
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        items = batch.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "item"))
-        order = F.dense_rank().over(Window.orderBy("file"))
-        rows = items.select((F.lit(batch_id) * F.lit(1 << 40) + (order - 1).cast("bigint") * F.lit(1 << 20) + F.col("pos")).alias("arrival_seq"), F.col("item").alias("value"))
-        events, bad = decode(rows)
+        events, bad = decode_files(batch.select("file", "value"))
         bad.write.mode("overwrite").parquet(f"{store.path}/quarantine/batch={batch_id}")
-        apply_batch(store, batch_id, events, health)
+        apply_batch(store, batch_id, events, health, F.lit(now() - dt.timedelta(seconds=health.window_seconds)))
+
+    source = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", config.max_files_per_trigger).load(folder)
+    writer = source.select("value", F.col("_metadata.file_path").alias("file")).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{config.trigger_seconds} seconds")).start()
+
 
-    source = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max(1, config.max_events_per_trigger // 1000)).load(folder)
-    writer = source.select("value", F.col("_metadata.file_name").alias("file")).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def batch_ack(ack: dict) -> tuple[int, dict]:
+    """(202 if all events were accepted, else 503; the counts) as the HTTP interface would answer a batch."""
+    return (202 if ack["accepted"] == ack["submitted"] else 503), ack
 
 
 class Intake:
-    """A bounded buffer in front of the state, for callers that push events: offer() refuses what does not fit, put() makes room first."""
+    """A bounded buffer in front of the state, for callers that push events.
+
+    With on_overflow "shed", offer() stops at the first event that does not fit and counts it and all after it as rejected: the
+    caller may offer the rest again. With "block", the buffer is drained into the state first, and nothing is refused. The
+    buffer belongs to one caller and a drain is synchronous, so there is no wait with a timeout: room comes from drain() alone.
+    """
 
     def __init__(self, store: Store, config: IngestConfig = IngestConfig(), health: HealthConfig = HealthConfig()):
         self.store, self.config, self.health = store, config, health
