@@ -77,7 +77,7 @@ def adjacency(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.agg(F.count(F.lit(1)).alias("node_count")).join(edges.agg(F.count(F.lit(1)).alias("edge_count")))
+    return nodes.agg(F.count(F.lit(1)).alias("node_count")).withColumn("edge_count", edges.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 def drop_counters(state: DataFrame) -> DataFrame:

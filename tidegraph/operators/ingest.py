@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,51 +28,91 @@ def duplicate_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("event_id").agg(F.count(F.lit(1)).alias("deliveries")).where("deliveries > 1")
 
 
-def _obs(e: Column) -> Column:
-    return e["type"] == OBSERVED
-
-
-def _step(cap: int, oldest: Column | None):
-    def step(s: Column, e: Column) -> Column:
-        """The transition of one edge for one event, in order of arrival."""
-        stale_obs = _obs(e) & s["tombstone"].isNotNull() & (s["tombstone"] > e["ts"])
-        stale_rem = ~_obs(e) & s["live"] & (s["last_obs"] > e["ts"])
-        seen, gone = _obs(e) & ~stale_obs, ~_obs(e) & ~stale_rem
-        fresh = seen & ~s["live"]
-        n = F.when(seen, F.when(fresh, F.lit(1)).otherwise(s["n"] + 1)).otherwise(s["n"]).cast("bigint")
-        before = F.when(fresh, F.lit(0.0)).otherwise(s["avg"])
-        added = F.concat(F.when(fresh, F.array().cast(_SAMPLES)).otherwise(s["samples"]), F.array(F.struct(e["ts"].alias("ts"), e["latency_ms"].alias("latency_ms"), e["status"].alias("status"))))
-        added = F.slice(added, F.greatest(F.lit(-cap), -F.size(added)), F.lit(cap))
-        if oldest is not None:
-            added = F.filter(added, lambda x: x["ts"] >= oldest)
-        one = F.lit(1).cast("bigint")
-        return F.struct(
-            F.when(seen, F.lit(True)).when(gone, F.lit(False)).otherwise(s["live"]).alias("live"),
-            F.when(fresh, e["ts"]).when(seen, F.greatest(s["last_obs"], e["ts"])).otherwise(s["last_obs"]).alias("last_obs"),
-            n.alias("n"),
-            F.when(seen, before + (e["latency_ms"] - before) / n).otherwise(s["avg"]).cast("double").alias("avg"),
-            F.when(gone, F.greatest(s["tombstone"], e["ts"])).otherwise(s["tombstone"]).alias("tombstone"),
-            F.when(stale_obs, s["stale_obs"] + one).otherwise(s["stale_obs"]).alias("stale_obs"),
-            F.when(stale_rem, s["stale_rem"] + one).otherwise(s["stale_rem"]).alias("stale_rem"),
-            F.when(gone & ~s["live"], s["unknown_rem"] + one).otherwise(s["unknown_rem"]).alias("unknown_rem"),
-            (s["accepted"] | seen).alias("accepted"),
-            F.when(seen, added).otherwise(s["samples"]).alias("samples"),
-        )
-
-    return step
-
-
-def _blank_state() -> Column:
-    kinds = {f.name: f.dataType for f in EDGE_STATE.fields if f.name not in ("source", "target")}
-    given = {"live": F.lit(False), "accepted": F.lit(False), "n": F.lit(0), "avg": F.lit(0.0), "stale_obs": F.lit(0), "stale_rem": F.lit(0), "unknown_rem": F.lit(0), "samples": F.array()}
-    return F.struct(*(given.get(k, F.lit(None)).cast(v).alias(k) for k, v in kinds.items()))
+_LONG_SAMPLES = "array<struct<ts:bigint,latency_ms:int,status:string>>"
+_FOLDED = "source string, target string, live boolean, last_obs bigint, n bigint, avg double, tombstone bigint, stale_obs bigint, stale_rem bigint, unknown_rem bigint, accepted boolean, samples " + _LONG_SAMPLES
+_FIELDS = [f.name for f in EDGE_STATE.fields]
+_BLANK = {"live": False, "last_obs": None, "n": 0, "avg": 0.0, "tombstone": None, "stale_obs": 0, "stale_rem": 0, "unknown_rem": 0, "accepted": False}
+
+
+class _Edge:
+    """The state machine of one edge; times are microseconds."""
+
+    def __init__(self, source: str, target: str, cap: int, oldest: int | None):
+        self.key, self.oldest, self.samples = (source, target), oldest, deque(maxlen=cap)
+        self.__dict__.update(_BLANK)
+
+    def restore(self, old: dict) -> None:
+        self.__dict__.update({k: old[k] for k in _BLANK})
+        self.samples.extend(s for s in old["samples"] or () if self.oldest is None or s["ts"] >= self.oldest)
+
+    def observe(self, ts: int, latency: int, status: str) -> None:
+        if self.tombstone is not None and self.tombstone > ts:
+            self.stale_obs += 1
+            return
+        if not self.live:
+            self.live, self.n, self.avg, self.last_obs = True, 0, 0.0, ts
+            self.samples.clear()
+        self.n += 1
+        self.avg += (latency - self.avg) / self.n
+        self.last_obs, self.accepted = max(self.last_obs, ts), True
+        if self.oldest is None or ts >= self.oldest:
+            self.samples.append({"ts": ts, "latency_ms": latency, "status": status})
+
+    def remove(self, ts: int) -> None:
+        if self.live and self.last_obs > ts:
+            self.stale_rem += 1
+            return
+        self.tombstone = ts if self.tombstone is None else max(self.tombstone, ts)
+        self.unknown_rem += not self.live
+        self.live = False
+
+    def row(self) -> dict:
+        return {"source": self.key[0], "target": self.key[1], **{k: self.__dict__[k] for k in _BLANK}, "samples": list(self.samples)}
+
+
+def _in_order(cap: int):
+    """Batches of rows by edge and arrival, an edge's prior state before its events, to a row for each edge. Of an edge only its state is held."""
+
+    def run(batches):
+        edge, out, schema = None, [], _arrow_schema()
+        for b in batches:
+            names = ("source", "target", "observed", "ts", "latency_ms", "status", "oldest", "old")
+            for source, target, observed, ts, latency, status, oldest, old in zip(*(b.column(n).to_pylist() for n in names), strict=True):
+                if edge is None or edge.key != (source, target):
+                    if edge:
+                        out.append(edge.row())
+                    edge = _Edge(source, target, cap, oldest)
+                if old is not None:
+                    edge.restore(old)
+                elif observed:
+                    edge.observe(ts, latency, status)
+                else:
+                    edge.remove(ts)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if edge:
+            yield pa.RecordBatch.from_pylist([edge.row()], schema=schema)
+
+    return run
+
+
+def _arrow_schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64()}
+    samples = pa.list_(pa.struct([("ts", pa.int64()), ("latency_ms", pa.int32()), ("status", pa.string())]))
+    return pa.schema([(name, kinds.get(kind, samples)) for name, kind in (f.split(" ", 1) for f in _FOLDED.split(", "))])
+
+
+def _as_long(samples) -> Column:
+    return F.transform(samples, lambda s: F.struct(F.unix_micros(s["ts"]).alias("ts"), s["latency_ms"].alias("latency_ms"), s["status"].alias("status")))
 
 
 def edge_state(events: DataFrame, previous: DataFrame | None = None, cap: int = 1024, oldest: Column | None = None) -> DataFrame:
     """EDGE_STATE after deduplicated events. previous: the state before them, edges without events pass through.
 
     Edges without removals, prior state or more than `cap` observations are plain aggregates. The others, whose
-    numbers depend on the order of arrival, are folded in that order inside the JVM.
+    numbers depend on the order of arrival, are sorted by edge and arrival, which spills, and stream through the state
+    machine: a task holds one edge's state and its `cap` samples, however many events an edge has.
     """
     edges = events.where(F.col("type").isin(OBSERVED, REMOVED)).select("source", "target", "type", "ts", "latency_ms", "status", "arrival_seq")
     counts = edges.groupBy("source", "target").agg(F.count(F.when(F.col("type") == REMOVED, 1)).alias("_removals"), F.count(F.lit(1)).alias("_events"))
@@ -80,23 +123,25 @@ def edge_state(events: DataFrame, previous: DataFrame | None = None, cap: int =
     marked = edges.join(counts.select("source", "target", ordered.alias("_ordered")), ["source", "target"])
     sample = F.struct("ts", "latency_ms", "status")
     in_time = F.lit(True) if oldest is None else F.col("ts") >= oldest
-    by_arrival = F.array_sort(F.collect_list(F.when(in_time, F.struct("arrival_seq", sample.alias("s")))))
+    by_arrival = F.array_sort(F.collect_list(F.when(in_time, F.struct("arrival_seq", sample.alias("s")))))  # of at most cap
     zero = F.lit(0).cast("bigint")
     plain = marked.where(~F.col("_ordered")).groupBy("source", "target").agg(
         F.lit(True).alias("live"), F.max("ts").alias("last_obs"), F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("avg"), F.lit(None).cast("timestamp").alias("tombstone"),
         zero.alias("stale_obs"), zero.alias("stale_rem"), zero.alias("unknown_rem"), F.lit(True).alias("accepted"), F.transform(by_arrival, lambda x: x["s"]).cast(_SAMPLES).alias("samples"),
     )
-    grouped = marked.where("_ordered").groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("arrival_seq", "type", "ts", "latency_ms", "status"))).alias("_list"))
-    start = _blank_state()
+    old_kind = "struct<" + ",".join(f.replace(" ", ":", 1) for f in _FOLDED.split(", ")[2:]) + ">"
+    limit = F.lit(None).cast("bigint") if oldest is None else F.unix_micros(oldest)
+    steps = marked.where("_ordered").select("source", "target", F.col("arrival_seq").alias("_seq"), (F.col("type") == OBSERVED).alias("observed"), F.unix_micros("ts").alias("ts"), "latency_ms", "status", limit.alias("oldest"), F.lit(None).cast(old_kind).alias("old"))
     if previous is not None:
-        old = previous.select("source", "target", F.struct(*(f.name for f in EDGE_STATE.fields if f.name not in ("source", "target"))).alias("_old"))
-        grouped = grouped.join(old, ["source", "target"], "left")
-        start = F.coalesce("_old", start)
-    folded = grouped.select("source", "target", F.aggregate("_list", start, _step(cap, oldest)).alias("s")).select("source", "target", "s.*")
-    names = EDGE_STATE.fieldNames()
-    out = plain.select(*names).unionByName(folded.select(*names))
+        longs = [F.unix_micros(c).alias(c) if c in ("last_obs", "tombstone") else _as_long(F.col(c)).alias(c) if c == "samples" else F.col(c) for c in _FIELDS[2:]]
+        known = previous.join(edges.select("source", "target").distinct(), ["source", "target"], "left_semi")
+        nothing = {"observed": "boolean", "ts": "bigint", "latency_ms": "int", "status": "string"}
+        steps = steps.unionByName(known.select("source", "target", F.lit(-(1 << 63)).alias("_seq"), *(F.lit(None).cast(k).alias(c) for c, k in nothing.items()), limit.alias("oldest"), F.struct(*longs).cast(old_kind).alias("old")))
+    folded = steps.repartition("source", "target").sortWithinPartitions("source", "target", "_seq").mapInArrow(_in_order(cap), _FOLDED)
+    folded = folded.withColumns({"last_obs": F.timestamp_micros("last_obs"), "tombstone": F.timestamp_micros("tombstone"), "samples": F.transform("samples", lambda s: F.struct(F.timestamp_micros(s["ts"]).alias("ts"), s["latency_ms"].alias("latency_ms"), s["status"].alias("status")))})
+    out = plain.select(*_FIELDS).unionByName(folded.select(*_FIELDS))
     if previous is not None:
-        out = out.unionByName(previous.join(edges.select("source", "target").distinct(), ["source", "target"], "left_anti").select(*names))
+        out = out.unionByName(previous.join(edges.select("source", "target").distinct(), ["source", "target"], "left_anti").select(*_FIELDS))
     return out
 
 
