@@ -27,7 +27,3 @@ class InvalidRequest(EngineError):
 
 class PipelineClosed(EngineError):
     code = "service_unavailable"
-
-
-class ResultTooLarge(EngineError):
-    code = "result_too_large"

@@ -25,8 +25,43 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
+_steps: list[tuple[SparkSession, str]] = []
+#: Rows of a step that come to the driver rather than to the shared folder; a step that has more is written.
+MOST_HELD = 10_000
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _steps:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may have ended by now
+            pass
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df, written and read back: an iteration's lineage ends here."""
+    """df, written and read back: an iteration's lineage ends here. The table goes at exit."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    _steps.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Ends the lineage of each step of an iteration: at most MOST_HELD rows through the driver, more through the shared folder.
+
+    After a step with more rows the next one is written without a look at the driver first, so large steps run once.
+    """
+
+    def __init__(self):
+        self.small = True
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        if self.small:
+            rows = df.limit(MOST_HELD + 1).toArrow()
+            if rows.num_rows <= MOST_HELD:
+                return df.sparkSession.createDataFrame(rows, schema=df.schema)
+        out = kept(df)
+        self.small = out.count() <= MOST_HELD
+        return out
