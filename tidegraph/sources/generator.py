@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,16 @@ def _u(seed: int, salt: str, *key) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *key), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def _name(c: Column) -> Column:
-    return F.format_string("svc-%05d", c.cast("long"))
+#: The services that have names of their own.
+NAMED = ("checkout-api", "payments-service", "auth-service", "cache-redis", "db-primary", "db-replica", "logger", "search-index", "user-profile", "inventory-service", "shipping-api", "notifications", "billing")
+
+
+def _name(c: Column, config: GeneratorConfig) -> Column:
+    """The id of a service by its number, names dealt out in an order that the seed chooses."""
+    n = config.services
+    factor = next(f for f in range(n * 5 // 8 + config.seed % 97 + 1, 2 * n + 200) if math.gcd(f, n) == 1)
+    k = (c.cast("long") * factor + config.seed) % n
+    return F.coalesce(F.get(F.array(*map(F.lit, NAMED)), k.cast("int")), F.format_string("svc-%05d", k))
 
 
 def topology(spark: SparkSession, c: GeneratorConfig) -> DataFrame:
@@ -28,7 +38,7 @@ def topology(spark: SparkSession, c: GeneratorConfig) -> DataFrame:
     ring = spark.range(c.cycles).withColumn("n", (2 + F.floor(_u(c.seed, "ring", "id") * 3)).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     member = lambda k: F.floor(_u(c.seed, "member", "id", k) * c.services)
     rings = ring.select(member(F.col("k")).alias("a"), member((F.col("k") + 1) % F.col("n")).alias("b"))
-    return edges.unionByName(rings).distinct().select(_name(F.col("a")).alias("source"), _name(F.col("b")).alias("target"))
+    return edges.unionByName(rings).distinct().select(_name(F.col("a"), c).alias("source"), _name(F.col("b"), c).alias("target"))
 
 
 def events(spark: SparkSession, c: GeneratorConfig = GeneratorConfig(), start: str = "2026-01-01 00:00:00") -> DataFrame:
@@ -42,7 +52,7 @@ def events(spark: SparkSession, c: GeneratorConfig = GeneratorConfig(), start: s
         F.col("id").alias("arrival_seq"), F.format_string("e-%08x-%08x", F.lit(c.seed), F.col("i")).alias("event_id"),
         F.when(kind < 0.78, "dependency_observed").when(kind < 0.88, "heartbeat").when(kind < 0.94, "service_metadata").otherwise("dependency_removed").alias("type"),
         (F.lit(start).cast("timestamp") + F.make_dt_interval(secs=((F.col("i") + F.floor(_u(c.seed, "jitter", "i") * 201) - 100) / 1000).cast("decimal(18,6)"))).alias("ts"),
-        F.floor(_u(c.seed, "edge", "i") * n).alias("edge"), _name(F.floor(_u(c.seed, "service", "i") * c.services)).alias("service"),
+        F.floor(_u(c.seed, "edge", "i") * n).alias("edge"), _name(F.floor(_u(c.seed, "service", "i") * c.services), c).alias("service"),
         F.when(long_tail < 0.95, 1 + F.floor(_u(c.seed, "ms", "i") * 50)).otherwise(50 + F.floor(_u(c.seed, "ms", "i") * 450)).cast("int").alias("latency_ms"),
         F.when(bad >= c.error_rate, "ok").when(bad < c.error_rate / 2, "error").otherwise("timeout").alias("status"), "i",
     )

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import logging
 
 from pyspark.sql import functions as F
 
 from .engine import Engine
 from .errors import EngineError, InvalidRequest
 
+log = logging.getLogger(__name__)
 _TEXT, _COUNT = {"type": "string", "minLength": 1}, {"type": "integer", "minimum": 1, "maximum": 1000}
 
 
@@ -23,7 +25,7 @@ TOOLS = {
     "shortest_path": ("The way between two services with the least latency", _schema(source=_TEXT, target=_TEXT)),
     "critical_services": ("The services with the highest in-degree times out-degree", _schema(k=_COUNT | {"default": 10})),
     "cycles": ("All elementary cycles", _schema()),
-    "health": ("Error rate and 95th percentile of latency over the last seconds", _schema(service=_TEXT, as_of=_TEXT, window_seconds={"type": "integer", "minimum": 1, "default": None})),
+    "health": ("Error rate and 95th percentile of latency over the last seconds before as_of, the present if not given", _schema(service=_TEXT, as_of=_TEXT | {"default": None}, window_seconds={"type": "integer", "minimum": 1, "default": None})),
 }
 
 
@@ -37,9 +39,11 @@ def _checked(name: str, given: dict) -> dict:
         value = given.get(key, rule.get("default"))
         if value is None and "default" in rule:
             continue
-        if rule["type"] == "string" and not (isinstance(value, str) and value):
+        if value is None:
             raise InvalidRequest(f"invalid arguments: {key}")
-        if rule["type"] == "integer" and (not isinstance(value, int) or isinstance(value, bool) or value < rule["minimum"] or value > rule.get("maximum", value)):
+        if not isinstance(value, {"string": str, "integer": int}[rule["type"]]) or isinstance(value, bool):
+            raise InvalidRequest(f"parameter '{key}' has the wrong type")
+        if value == "" or rule["type"] == "integer" and (value < rule["minimum"] or value > rule.get("maximum", value)):
             raise InvalidRequest(f"invalid arguments: {key}")
         out[key] = value
     return out
@@ -49,7 +53,8 @@ def call(engine: Engine, name: str, arguments: dict | None = None) -> dict:
     """{"content": rows} or {"isError": True, "content": envelope}."""
     try:
         given = _checked(name, arguments or {})
-        if "as_of" in given:
+        if name == "health":
+            given.setdefault("as_of", dt.datetime.now(dt.timezone.utc).isoformat())
             try:
                 given["as_of"] = dt.datetime.fromisoformat(given["as_of"])
             except ValueError:
@@ -58,3 +63,6 @@ def call(engine: Engine, name: str, arguments: dict | None = None) -> dict:
         return {"content": [json.loads(r[0]) for r in rows.select(F.to_json(F.struct("*"))).collect()]}
     except EngineError as e:
         return {"isError": True, "content": e.envelope()}
+    except Exception:
+        log.exception("tool %s", name)  # the trace stays here
+        return {"isError": True, "content": EngineError("an unexpected error occurred").envelope()}
