@@ -12,7 +12,7 @@ from tidegraph.engine import Engine
 from tidegraph.errors import InvalidRequest, PipelineClosed, UnknownService
 from tidegraph.operators.ingest import duplicate_counts, edge_state, first_arrivals, live_topology
 from tidegraph.sources import generator
-from tidegraph.sources.decode import read_batch
+from tidegraph.sources.decode import read_batch, read_files
 from tidegraph.sources.store import Store
 from tidegraph.streaming.pipeline import Intake, apply_batch, stream
 from tidegraph.tools import call
@@ -268,3 +268,78 @@ def test_samples_of_a_busy_edge(spark, tmp_path):
         key = lambda r: tuple(map(str, r))
         assert sorted(map(key, got.collect())) == sorted(map(key, want.itertuples(index=False, name=None))), name
         assert name != "restored_samples" or got.count() == 1500 + 1300
+
+
+def test_files_that_are_no_arrays(spark, tmp_path):
+    """Truncated files, single objects and null items are not lost, in batch and in the stream; places do not overlap."""
+    good = lambda *ids: json.dumps([obs(i, "a>b", i, 0) for i in ids])
+    for name, text in {"a": good(1, 2, 3), "b": '[{"type": "dependency_obs', "c": json.dumps(obs(9, "x>y")), "d": "[null, " + good(4)[1:], "e": "[]"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    events, bad = read_files(spark, f"file://{tmp_path}")
+    assert [r["event_id"] for r in events.orderBy("arrival_seq").collect()] == ["e1", "e2", "e3", "e4"]
+    assert sorted(r["fault"] for r in bad.collect()) == ["malformed", "not an array", "not an array"]
+    seqs = [r["arrival_seq"] for r in events.select("arrival_seq").unionByName(bad.select("arrival_seq")).collect()]
+    assert len(set(seqs)) == 7
+    store = Store(spark, f"file://{tmp_path}/state")
+    stream(spark, f"{tmp_path}/*.json", store, f"{tmp_path}/check", clock=lambda: NOW).awaitTermination(120)
+    assert store.processed_count() == 4 and spark.read.parquet(f"file://{tmp_path}/state/quarantine").count() == 3
+
+
+def test_stream_prunes_by_age(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps([obs(1, "a>b", 10, -900), obs(2, "a>b", 20, -10), rem(3, "c>d", 0), obs(4, "c>d", 5, -301), obs(5, "c>d", 5, 1)]))
+    store = Store(spark, f"file://{tmp_path}/state")
+    stream(spark, str(tmp_path / "in"), store, str(tmp_path / "check"), clock=lambda: NOW).awaitTermination(120)
+    assert [(r["source"], r["place"], r["latency_ms"]) for r in store.samples().collect()] == [("a", 0, 20), ("c", 0, 5)]
+    assert Engine.from_store(store).edges.where("source = 'a'").first()["sample_count"] == 2
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    events = read_batch(spark, json.dumps([obs(1, "a>b")]))
+    apply_batch(store, 0, events)
+    state = store.load()
+    with pytest.raises(InvalidRequest, match="committed already"):
+        store.commit(0, state.nodes.limit(0), state.edge_state.limit(0), state.processed)
+    assert store.load().edge_state.count() == 1
+
+
+def test_store_merges_and_tidies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidegraph.sources.store.MOST_LISTS", 2)
+    store = Store(spark, f"file://{tmp_path}/s")
+    for k in range(5):
+        apply_batch(store, k, read_batch(spark, json.dumps([obs(k, "a>b"), obs(k + 1, "a>b")]), 10 * k))
+    assert store.processed_count() == 6 and store.load().edge_state.first()["n"] == 6
+    assert len(store._pointer(4)["processed"]) <= 2 and len(list(tmp_path.glob("s/v=*/edge_state"))) == 2
+
+
+def test_hot_edge_streams(spark):
+    """One edge with 200,000 events and a removal early on: only its state and its last samples are held."""
+    n = 200_000
+    events = spark.range(n).select(
+        F.col("id").alias("arrival_seq"), F.when(F.col("id") == 10, "dependency_removed").otherwise("dependency_observed").alias("type"), F.col("id").cast("string").alias("event_id"),
+        F.timestamp_seconds("id").alias("ts"), F.lit("a").alias("source"), F.lit("b").alias("target"), (F.col("id") % 100).cast("int").alias("latency_ms"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("service"), F.lit(None).cast("map<string,string>").alias("attributes"),
+    )
+    r = edge_state(events.repartition(7)).collect()
+    assert len(r) == 1 and r[0]["n"] == n - 11 and len(r[0]["samples"]) == 1024 and r[0]["samples"][-1]["latency_ms"] == (n - 1) % 100
+
+
+def test_dense_component(spark):
+    """All cycles of a complete graph of six nodes, and none of the edges between components."""
+    e = graph(spark, " ".join(f"{a}>{b}" for a in "abcdef" for b in "abcdef" if a != b) + " f>g g>h h>g z>a")
+    found = cycles(e)
+    assert len(found) == 409 + 1 and ["g", "h", "g"] in found and found == sorted(found, key=lambda c: (len(c), c))
+
+
+def test_tool_defaults(spark):
+    e = graph(spark, "a>b")
+    assert call(e, "health", {"service": "a"})["content"][0]["sample_count"] == 0  # of the last 300 seconds
+    assert call(e, "reachable", {"service": 3})["content"]["message"] == "parameter 'service' has the wrong type"
+    e.nodes = None
+    assert call(e, "reachable", {"service": "a"})["content"] == {"error": "internal_error", "message": "an unexpected error occurred"}
+
+
+def test_steps_beyond_the_driver(spark, monkeypatch):
+    monkeypatch.setattr("tidegraph.scratch.MOST_HELD", 1)
+    e = graph(spark, "a>b b>c c>a b>d d>b")
+    assert cycles(e) == [["b", "d", "b"], ["a", "b", "c", "a"]] and len(paths(e.reachable("a"))) == 4

@@ -86,9 +86,12 @@ def _shuffled(spark, sf_dir):
     return e.withColumn("arrival_seq", (F.col("arrival_seq") + F.col("arrival_seq") * 7919 % 200 - 100) * 1_000_000 + F.col("arrival_seq"))
 
 
+def _state_disordered(spark, sf_dir):
+    return I.edge_state(_shuffled(spark, sf_dir))
+
+
 def edge_stats_disordered(spark, sf_dir):
-    s = I.edge_state(_shuffled(spark, sf_dir))
-    return s.select("source", "target", "live", "n", F.round("avg", 6).alias("avg"), "stale_obs", "stale_rem", "unknown_rem")
+    return _state_disordered(spark, sf_dir).select("source", "target", "live", "n", F.round("avg", 6).alias("avg"), "stale_obs", "stale_rem", "unknown_rem")
 
 
 def service_metadata_merged(spark, sf_dir):
@@ -124,7 +127,7 @@ def reachable_hops(spark, sf_dir):
 def reach_count_all(spark, sf_dir):
     edges = kept(_topology(spark, sf_dir))
     starts = edges.select(F.col("source").alias("id")).distinct()
-    return T.reachable(edges, starts).groupBy("start").agg(F.count(F.lit(1)).alias("reached"), F.max("hops").alias("depth"))
+    return T.reach_depths(edges, starts).groupBy("start").agg(F.count(F.lit(1)).alias("reached"), F.max("hops").alias("depth"))
 
 
 def sssp_all(spark, sf_dir):
@@ -308,9 +311,10 @@ SQL = {
     "recent_samples_capped": f"{_DEP} SELECT source, target, strftime(ts, {_MICRO}) AS ts, latency_ms, status FROM dep WHERE {_OBS} QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY arrival_seq DESC) <= 4",
     "adjacency_out": f"{_DEP}{_TOPO} SELECT source, string_agg(target, ',' ORDER BY target) AS targets FROM topo GROUP BY 1",
     "adjacency_in": f"{_DEP}{_TOPO} SELECT target, string_agg(source, ',' ORDER BY source) AS sources FROM topo GROUP BY 1",
+    "partition_balance": f"""{_DEP} SELECT CAST(('0x' || md5(CASE WHEN {_OBS} OR {_REM} THEN source || chr(31) || target ELSE source END)[1:8])::BIGINT % 8 AS INTEGER) AS partition, count(*) AS events FROM dep GROUP BY 1""",
     "restored_samples": f"{_RECENT} SELECT source, target, strftime(ts, {_MICRO}) AS ts, latency_ms, status FROM recent",
 }
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in (*SQL, "partition_balance")}
+    return {name: globals()[name] for name in SQL}
