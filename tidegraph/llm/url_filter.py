@@ -69,22 +69,22 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     pages: page_id, host. outcomes: page_id, bad (0 or 1), a row for each labelled page. A suffix shrinks to the rate
     of all pages, a registered domain to its suffix, a host to its domain; each level's prior strength is fitted to
-    the labelled outcomes. The sums of each host are written once and read by every level. Each level is a grouped sum, so a host with a third of all pages is added up map-side.
+    the labelled outcomes. The sums of each level are written once. Each level is a grouped sum, so a host with a third of all pages is added up map-side.
     """
     by_host = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = stored(by_host, "hosts").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("all_rate"))
+    domains = stored(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = stored(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
 
-    # one number each: scalar subqueries, no joins
-    level = suffixes.withColumn("all_rate", total.scalar())
-    level = level.withColumn("m1", _strength(level.where("n > 0"), "all_rate").scalar()).select("suffix", ((F.col("bad") + F.col("m1") * F.col("all_rate")) / (F.col("n") + F.col("m1"))).alias("suffix_rate"))
-    below = domains.join(level, "suffix")
-    below = below.withColumn("m2", _strength(below.where("n > 0"), "suffix_rate").scalar()).select("domain", ((F.col("bad") + F.col("m2") * F.col("suffix_rate")) / (F.col("n") + F.col("m2"))).alias("domain_rate"))
-    last = hosts.join(below, "domain")
-    last = last.withColumn("m3", _strength(last.where("n > 0"), "domain_rate").scalar())
-    return last.select("host", "n", "bad", (F.col("bad") + F.col("m3") * F.col("domain_rate")).alias("alpha"), (F.col("n") - F.col("bad") + F.col("m3") * (1 - F.col("domain_rate"))).alias("beta"))
+    # the driver gets one number for each level: the rate of all pages, then the three strengths
+    one = lambda df: F.lit(df.first()[0])
+    level = suffixes.withColumn("all_rate", one(suffixes.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2))))
+    m = one(_strength(level.where("n > 0"), "all_rate"))
+    below = domains.join(level.select("suffix", ((F.col("bad") + m * F.col("all_rate")) / (F.col("n") + m)).alias("suffix_rate")), "suffix")
+    m = one(_strength(below.where("n > 0"), "suffix_rate"))
+    last = hosts.join(below.select("domain", ((F.col("bad") + m * F.col("suffix_rate")) / (F.col("n") + m)).alias("domain_rate")), "domain")
+    m = one(_strength(last.where("n > 0"), "domain_rate"))
+    return last.select("host", "n", "bad", (F.col("bad") + m * F.col("domain_rate")).alias("alpha"), (F.col("n") - F.col("bad") + m * (1 - F.col("domain_rate"))).alias("beta"))
 
 
 def reputation_verdict(alpha: Column, beta: Column, z: float = BOUND_Z, max_bad: float = MAX_BAD) -> Column:
@@ -99,7 +99,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame
 
     Edge cases: a null url, or one without `://`, has an empty host and path and the reputation of the empty host;
     repeated pages each get a row; repeated outcomes of a page count once (the worst); without any outcome nothing is
-    blocked but by a rule.
+    blocked but by a rule; of two rules that fit the longer one stands, of equally long ones the first
+    given; a long url is parsed whole; columns of pages besides page_id and url play no part; an empty table gives none.
     """
     outcomes = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -108,21 +109,30 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame
     return rows.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "_own", F.lit("allow")).alias("verdict"))
 
 
+def document_of(path: Column) -> Column:
+    """The number of the document that a page shows: what its path ends with, null where that is no number."""
+    return F.regexp_extract(path, r"/([0-9]{1,18})(?:/|\.[a-z]+)?$", 1).try_cast("bigint")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled outcome of a page is the label row of its number: bad if its quality is 0 or it is toxic."""
+    """A page's labelled outcome is the label of the document that it shows: bad if its quality is 0 or it is toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-    return filter_urls(pages, labels)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
+    outcomes = pages.select("page_id", document_of(path_of(F.col("url"))).alias("doc_id")).join(labels, "doc_id").select("page_id", "bad")
+    return filter_urls(pages, outcomes)
 
 
 OP9_SQL = r"""
-WITH outcomes AS (
-  SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+WITH l AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 p AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
+outcomes AS (
+  SELECT page_id, max(bad) AS bad FROM p JOIN l ON TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:/|\.[a-z]+)?$', 1) AS BIGINT) = l.doc_id
+  WHERE page_id IS NOT NULL GROUP BY 1),
 hosts AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad,
          array_to_string(string_split(host, '.')[-2:], '.') AS two
