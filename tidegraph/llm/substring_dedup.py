@@ -91,20 +91,21 @@ class _Letters(dict):
         return c
 
 
-def _recurring(pieces: list[bytes], window: int) -> list[tuple[int, int]]:
-    """(piece, window) of the first of each run of equal window hashes that occurs more than once: hashed counts, no words compared."""
-    words = Words(pieces)
-    first = np.flatnonzero(np.arange(len(words)) + window <= words.last[words.text])
-    if not len(first):
+def _recurring(strings: list[str], window: int) -> list[tuple[int, int]]:
+    """(string, place) of the first of each run of equal window hashes that occurs more than once: hashed counts, no letters compared."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    g = mixed(np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+    m = len(g) - window + 1
+    if m < 2:
         return []
-    m = len(words) - window + 1
-    h = words.hash[:m].copy()
+    h = g[:m].copy()
     for j in range(1, window):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words.hash[j : m + j]
+        h = h * np.uint64(0x5851F42D4C957F2D) + g[j : m + j]
+    ends, of = np.cumsum(sizes), np.repeat(np.arange(len(strings)), sizes)
+    first = np.flatnonzero(np.arange(m) + window <= ends[of[:m]])
     _, at, times = np.unique(h[first], return_index=True, return_counts=True)
     at = first[np.sort(at[times > 1])]
-    piece = words.text[at]
-    return list(zip(piece.tolist(), (at - np.concatenate(([0], words.last[:-1]))[piece]).tolist(), strict=True))
+    return list(zip(of[at].tolist(), (at - (ends - sizes)[of[at]]).tolist(), strict=True))
 
 
 def locate(pieces: list[tuple[tuple, int, int, bytes]], window: int) -> list[tuple[tuple, int, int]]:
@@ -117,11 +118,11 @@ def locate(pieces: list[tuple[tuple, int, int, bytes]], window: int) -> list[tup
     """
     import ahocorasick
 
-    again = _recurring([text for *_, text in pieces], window)
-    if not again:
-        return []
     letters = _Letters()
     strings = ["".join(map(letters.__getitem__, text.split())) for *_, text in pieces]
+    again = _recurring(strings, window)
+    if not again:
+        return []
     automaton = ahocorasick.Automaton()
     for k, i in again:
         doc, at, *_ = pieces[k]
