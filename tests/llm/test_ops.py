@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -442,8 +443,82 @@ def test_rare_insults_in_long_texts(spark):
     assert kept == {i for i in range(400, 800) if i % 8}
 
 
-def test_pipeline_stages(spark):
-    """run() by hand: each stage against plain Python over the stage's own input."""
+def mixed64(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 % 2**64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def plain_features(text):
+    """column -> value, word by word."""
+    hash_of = lambda w: mixed64(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, b in enumerate(w)) % 2**64)
+    kind = lambda c: 48 if 48 <= c < 58 else 65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c >= 128 else c
+    ws = text.lower().split()
+    hs = [hash_of(w) for w in ws]
+    out = {}
+    kinds = {h % 2**16 for h in hs}
+    out |= {c: 1 / math.sqrt(max(64, len(kinds))) for c in kinds}
+    drawn = bytes(k for k, _ in itertools.groupby(map(kind, text)))
+    shapes = [hash_of(w) % 2**10 for w in drawn.split()]
+    out |= {2**16 + c: shapes.count(c) / len(shapes) for c in set(shapes)}
+    again = sum(x == y for x, y in itertools.pairwise(hs)) / max(1, len(hs))
+    out |= {2**16 + 2**10: again} if again else {}
+    stems = [hash_of(w[:6]) % 2**14 for w in ws]
+    return out | {2**16 + 2**10 + 1 + c: math.log1p(stems.count(c)) / 8 for c in set(stems)}
+
+
+def test_quality_scores_by_hand(spark, docs):
+    """Features, score, tails and expected grade against plain Python, word by word."""
+    rng = random.Random(9)
+    weights = [rng.gauss(0, 3) for _ in range(quality.WIDTH)]
+    cuts = [-0.4, 1.1]
+    import numpy as np
+
+    model = quality.Ordinal(np.array(weights), np.array(cuts))
+    got = {r["doc_id"]: (r["expected_grade"], r["tail_prob"], r["kept"]) for r in quality.score(docs, model).collect()}
+    for i, t, *_ in rows():
+        score = sum(weights[c] * v for c, v in plain_features((t or "").encode()).items())
+        tails = [1 / (1 + math.exp(min(700, c - score))) for c in cuts]
+        assert got[i][:2] == (pytest.approx(sum(tails)), pytest.approx(tails[1])) and got[i][2] == (tails[1] >= 0.5)
+
+
+def test_quality_fit_by_hand():
+    """The likelihood of a small fit against a plain computation: far better than chance, and no better anywhere near on a threshold."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, width = 400, 30
+    true = rng.normal(size=width) * 2
+    x = (rng.random((n, width)) < 0.3).astype(float)
+    score = x @ true
+    grade = (score + rng.logistic(size=n) > np.quantile(score, 0.3)).astype(int) + (score + rng.logistic(size=n) > np.quantile(score, 0.7)).astype(int)
+    row, col = np.nonzero(x)
+    model = quality.fit(row, col, x[row, col], grade)
+
+    def loss(w, cuts):
+        edge = [-math.inf, *cuts, math.inf]
+        up = lambda z: 0.0 if z == -math.inf else 1.0 if z == math.inf else 1 / (1 + math.exp(-z))
+        s = x @ w[:width]
+        return -sum(math.log(max(1e-12, up(edge[g + 1] - v) - up(edge[g] - v))) for g, v in zip(grade.tolist(), s.tolist(), strict=True)) / n
+
+    share = np.cumsum(np.bincount(grade, minlength=3))[:-1] / n
+    chance = loss(np.zeros(quality.WIDTH), np.log(share / (1 - share)))
+    own = loss(model.weights, model.thresholds)
+    assert list(model.thresholds) == sorted(model.thresholds) and own < 0.8 * chance
+    assert all(own <= loss(model.weights, model.thresholds + np.array(d)) + 1e-4 for d in ([0.3, 0], [-0.3, 0], [0, 0.3], [0, -0.3]))
+
+
+def test_grades(spark):
+    given = [(1, 1, 0), (1, 0, 0), (2, 1, 1), (3, 1, None), (4, None, 1), (None, 1, 0), (5, 0, 0)]
+    got = dict(quality.graded(spark.createDataFrame(given, "doc_id long, quality int, toxic int")).collect())
+    assert got == {1: 1, 2: 0, 3: 2, 5: 1}
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """run() by hand: each stage against plain Python, or SQL, over the stage's own input."""
+    duckdb = pytest.importorskip("duckdb")
     import corpus_pipeline as P
 
     sf = "/root/testdata/sf0.001"
@@ -459,13 +534,39 @@ def test_pipeline_stages(spark):
     for r in sorted(a):
         last[r["text"] or ""] = r
     assert sorted(b) == sorted(last.values())
+    b = sorted(b)
     c = P.near(spark, spark.createDataFrame(b, docs.schema), sf).collect()
-    groups = groups_of({r["doc_id"]: plain_fingerprint(r["text"]) for r in b}, 2)
-    assert sorted(c) == sorted(r for r in b if groups[r["doc_id"]] == r["doc_id"])
-    d = P.mixed(spark, spark.createDataFrame(c, docs.schema), sf)
-    assert d.columns == docs.columns and {r["doc_id"] for r in d.collect()} <= {r["doc_id"] for r in c}
+    root, _ = jaccard_groups([r["text"] for r in b])
+    assert sorted(c) == [b[k] for k in sorted(set(root))]
+    spark.createDataFrame(c, docs.schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    d = P.mixed(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[4] for r in con.execute(mixing.OP10_SQL).fetchall() if r[4]}
+    taken, whole = {}, {r["doc_id"]: words(r["text"]) for r in c}
+    mixed = d.collect()
+    for r in mixed:
+        ws = words(r["text"])
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(ws)
+        assert ws == whole[r["doc_id"]] or set(ws) <= set(whole[r["doc_id"]]) and len(ws) < len(whole[r["doc_id"]])
+    assert d.columns == docs.columns and taken == want
     e = P.run(spark, sf).collect()
-    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in e) == sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in d.collect())
+    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in e) == sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in mixed)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, empty):
+    """Nulls in all columns, repeated rows, clashing names, an empty table: each stage but the last returns the columns of its input."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    odd = docs.unionByName(docs.where("doc_id < 60")).unionByName(docs.limit(3).select(*(F.lit(None).cast(t).alias(c) for c, t in docs.dtypes)))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == docs.columns and out.count() <= 2 * odd.count(), name
+        assert {r["kept"] for r in out.select("kept").distinct().collect()} <= {"clash", None}, name
+        assert stage(spark, empty, sf).count() == 0, name
+    assert P.STAGES[-1][1](spark, odd, sf).count() == odd.count() and P.STAGES[-1][1](spark, empty, sf).count() == 0
+    assert P.exact(spark, odd, sf).count() == len({t or "" for t in TEXTS})
 
 
 def jaccard_groups(given, least=0.8, k=5):

@@ -29,6 +29,8 @@ RIDGE = 1e-5
 #: Documents stay if the probability of the highest grade is at least this.
 LEAST_TAIL = 0.5
 
+RESULTS = ("expected_grade", "tail_prob", "kept")
+
 _SHAPE = bytes(48 if 48 <= c < 58 else 65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c >= 128 else c for c in range(256))
 
 
@@ -151,7 +153,7 @@ def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> Dat
     without a model (no ratings) both numbers are null and every row is kept; columns of docs with these names are
     replaced; an empty table gives none.
     """
-    docs = docs.drop("expected_grade", "tail_prob", "kept")
+    docs = docs.drop(*RESULTS)
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "tail_prob": F.lit(None).cast("double"), "kept": F.lit(True)})
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
