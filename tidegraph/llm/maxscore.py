@@ -92,6 +92,8 @@ def maxscore(q_row: np.ndarray, q: np.ndarray, row: np.ndarray, ids: np.ndarray,
             rows, cols, scores, left = rows[fit], cols[fit], scores[fit], left[fit]
         fit = (scores >= theta[rows]) & (its[cols] != q_row[rows])
         rows, cols, scores = rows[fit], cols[fit], scores[fit]
+        if not len(rows):
+            continue
         touched, first = np.unique(rows, return_index=True)
         for r, lo, hi in zip(touched.tolist(), first.tolist(), np.append(first[1:], len(rows)).tolist(), strict=True):
             s = np.concatenate((best_s[r], scores[lo:hi]))
