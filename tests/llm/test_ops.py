@@ -404,8 +404,8 @@ def test_permutation(spark):
     for n in (1, 2, 3, 10, 257):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(1), F.lit(n))).collect()
         assert sorted(r[0] for r in got) == list(range(n))
-    for n in (2**31 + 5, 130_000_000_000, 2**60 - 1):
-        got = [r[0] for r in spark.range(500).select(mixing.permuted(F.lit(n - 1) - F.col("id") * 1_000_003, F.lit(n), F.lit(1))).collect()]
+    for n in (2**16, 2**31 + 5, 2**40, 130_000_000_000, 2**60 - 1):
+        got = [r[0] for r in spark.range(500).select(mixing.permuted(F.lit(n - 1) - F.col("id") * min(1_000_003, n // 512), F.lit(n), F.lit(1))).collect()]
         assert len(set(got)) == 500 and 0 <= min(got) and max(got) < n and max(got) - min(got) > n // 2
 
 

@@ -15,8 +15,9 @@ TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 #: Documents are strung together in runs of about this many, so that no running sum spans a whole source.
 RUN_DOCS = 4096
-#: Multipliers of the index permutations; primes over 2^60, so that each is coprime to any number of blocks below that.
-MULTIPLIERS = (2305843009213693951, 2305843009213693921, 2305843009213693907, 2305843009213693723, 2305843009213693693, 2305843009213693669)
+#: Multipliers of the index permutations: primes drawn at random between 2^60 and 2^61, so each is coprime to any number of blocks below 2^60
+#: and scattered in its remainder by it.
+MULTIPLIERS = (1515665073089002789, 1765927476945937897, 1934600602352824613, 1947095076715992227, 1948607718847358267, 2169642410502133691, 2178702586197354667, 2212553262320489461)
 
 
 def _number(*parts) -> Column:
