@@ -32,7 +32,7 @@ def reachable(edges: DataFrame, starts: DataFrame, reverse: bool = False) -> Dat
         if done is not None:
             found = found.join(done.select("start", "id"), ["start", "id"], "left_anti")
         found = steps.hold(found.select("start", "id", F.lit(level).alias("hops"), "path"))
-        if found.isEmpty():
+        if not steps.rows:
             return found if done is None else done
         done = found if done is None else done.unionByName(found)
         if level % MOST_PARTS == 0:
@@ -51,7 +51,7 @@ def reach_depths(edges: DataFrame, starts: DataFrame) -> DataFrame:
         if done is not None:
             found = found.join(done, ["start", "id"], "left_anti")
         found = steps.hold(found.select("start", "id", F.lit(level).alias("hops")))
-        if found.isEmpty():
+        if not steps.rows:
             return found if done is None else done
         done = found if done is None else done.unionByName(found)
         if level % MOST_PARTS == 0:
@@ -75,7 +75,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, target: str | None = Non
             bound = best.where(F.col("id") == target).select("start", F.col("b.d").alias("_bound"))
             step = step.join(bound, "start", "left").where("_bound is null or new.d <= _bound").drop("_bound")
         better = steps.hold(step.join(best, ["start", "id"], "left").where("b is null or new < b").select("start", "id", F.col("new").alias("b")))
-        if better.isEmpty():
+        if not steps.rows:
             return best.select("start", "id", F.col("b.d").alias("distance"), F.col("b.h").alias("hops"), F.col("b.p").alias("path"))
         best = every.hold(best.join(better, ["start", "id"], "left_anti").unionByName(better))
         frontier = better
@@ -85,13 +85,13 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left when nodes without incoming or outgoing edges are taken away again and again; no self-loops."""
     steps = Steps()
     core = steps.hold(edges.where("source <> target").select("source", "target").distinct())
-    n = core.count()
+    n = steps.rows
     while n:
         core = steps.hold(core.join(core.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi"))
-        n, before = core.count(), n
+        n, before = steps.rows, n
         if n == before:
             break
-    return core.select("source", "target")
+    return core
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -102,16 +102,17 @@ def cycles(edges: DataFrame) -> DataFrame:
     """
     found = edges.where("source = target").select(F.array("source", "target").alias("cycle")).distinct()
     core = cyclic_core(edges)
-    if core.isEmpty():
-        return found
     part = strong_components(core, core.select(F.col("source").alias("id")).distinct())
     core = core.join(part.toDF("source", "cs"), "source").join(part.toDF("target", "ct"), "target").where("cs = ct").select("source", "target")
-    core = Steps().hold(core)
-    e, steps = core.toDF("_from", "_to"), Steps()
+    steps = Steps()
+    core = steps.hold(core)
+    e = core.toDF("_from", "_to")
     open_ = core.where("target > source").select(F.col("source").alias("start"), F.col("target").alias("node"), F.array("source", "target").alias("path"))
-    while not open_.isEmpty():
+    while steps.rows:
         step = open_.join(e, F.col("node") == F.col("_from")).where((F.col("_to") == F.col("start")) | ((F.col("_to") > F.col("start")) & ~F.array_contains("path", F.col("_to"))))
         step = steps.hold(step.select("start", F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path")))
+        if not steps.rows:
+            break
         found = found.unionByName(step.where("node = start").select(F.col("path").alias("cycle")))
         open_ = step.where("node <> start")
     return found
@@ -143,10 +144,9 @@ def _least(edges: DataFrame, colour: DataFrame) -> DataFrame:
     steps = Steps()
     while True:
         came = edges.join(colour.toDF("source", "c"), "source").groupBy(F.col("target").alias("id")).agg(F.min("c").alias("n"))
-        new = steps.hold(colour.join(came, "id", "left").select("id", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("moved")))
-        moved = not new.where("moved").isEmpty()
+        new = steps.hold(colour.join(came, "id", "left").select("id", F.least("c", "n").alias("c"), F.coalesce(F.col("n") < F.col("c"), F.lit(False)).alias("moved")), "moved")
         colour = new.select("id", "c")
-        if not moved:
+        if not steps.flagged:
             return colour
 
 
@@ -157,7 +157,7 @@ def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     while True:
         found = edges.join(frontier.toDF("source", "c"), "source").select(F.col("target").alias("id"), "c").distinct()
         frontier = steps.hold(found.join(done, "id", "left_anti"))
-        if frontier.isEmpty():
+        if not steps.rows:
             return done
         done = every.hold(done.unionByName(frontier))
 

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -56,12 +57,17 @@ class Steps:
 
     def __init__(self):
         self.small = True
+        #: Rows of the step held last, and how many of them have the flag.
+        self.rows = self.flagged = 0
 
-    def hold(self, df: DataFrame) -> DataFrame:
+    def hold(self, df: DataFrame, flag: str | None = None) -> DataFrame:
         if self.small:
             rows = df.limit(MOST_HELD + 1).toArrow()
             if rows.num_rows <= MOST_HELD:
+                self.rows = rows.num_rows
+                self.flagged = sum(map(bool, rows.column(flag).to_pylist())) if flag else 0
                 return df.sparkSession.createDataFrame(rows, schema=df.schema)
         out = kept(df)
-        self.small = out.count() <= MOST_HELD
+        self.rows, self.flagged = out.agg(F.count(F.lit(1)), F.count_if(F.col(flag)) if flag else F.lit(0)).first()
+        self.small = self.rows <= MOST_HELD
         return out
