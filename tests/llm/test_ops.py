@@ -187,8 +187,8 @@ def test_license_scan(spark, docs, empty):
 
 
 def test_license_scan_of_a_long_text(spark):
-    """50,000 words of nothing but licenses: each counts once, and work grows with the text."""
-    text = " ".join(t for _, t in license_scan.TEMPLATES * 60)
+    """48,000 words of nothing but licenses: each counts once, and work grows with the text."""
+    text = " ".join(t for _, t in license_scan.TEMPLATES * 80)
     assert len(text.split()) > 40_000
     got = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert sorted(r["license"] for r in got) == sorted(n for n, _ in license_scan.TEMPLATES) and {r["containment"] for r in got} == {1.0}
