@@ -107,6 +107,13 @@ def _as_long(samples) -> Column:
     return F.transform(samples, lambda s: F.struct(F.unix_micros(s["ts"]).alias("ts"), s["latency_ms"].alias("latency_ms"), s["status"].alias("status")))
 
 
+def _rolling(latencies) -> Column:
+    """The rolling average over latencies in order of arrival, step by step as the state machine takes it: the quotient of the sums has other last bits."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("avg"))
+    step = lambda s, e: F.struct((s["n"] + 1).alias("n"), (s["avg"] + (e["x"] - s["avg"]) / (s["n"] + 1)).alias("avg"))
+    return F.aggregate(latencies, zero, step, lambda s: s["avg"])
+
+
 def edge_state(events: DataFrame, previous: DataFrame | None = None, cap: int = 1024, oldest: Column | None = None) -> DataFrame:
     """EDGE_STATE after deduplicated events. previous: the state before them, edges without events pass through.
 
@@ -124,9 +131,10 @@ def edge_state(events: DataFrame, previous: DataFrame | None = None, cap: int =
     sample = F.struct("ts", "latency_ms", "status")
     in_time = F.lit(True) if oldest is None else F.col("ts") >= oldest
     by_arrival = F.array_sort(F.collect_list(F.when(in_time, F.struct("arrival_seq", sample.alias("s")))))  # of at most cap
+    latencies = F.array_sort(F.collect_list(F.struct("arrival_seq", F.col("latency_ms").cast("double").alias("x"))))
     zero = F.lit(0).cast("bigint")
     plain = marked.where(~F.col("_ordered")).groupBy("source", "target").agg(
-        F.lit(True).alias("live"), F.max("ts").alias("last_obs"), F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("avg"), F.lit(None).cast("timestamp").alias("tombstone"),
+        F.lit(True).alias("live"), F.max("ts").alias("last_obs"), F.count(F.lit(1)).alias("n"), _rolling(latencies).alias("avg"), F.lit(None).cast("timestamp").alias("tombstone"),
         zero.alias("stale_obs"), zero.alias("stale_rem"), zero.alias("unknown_rem"), F.lit(True).alias("accepted"), F.transform(by_arrival, lambda x: x["s"]).cast(_SAMPLES).alias("samples"),
     )
     old_kind = "struct<" + ",".join(f.replace(" ", ":", 1) for f in _FOLDED.split(", ")[2:]) + ">"
