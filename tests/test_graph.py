@@ -364,3 +364,11 @@ def test_average_of_two_batches(spark):
     events, want = _long_edges(spark)
     first = edge_state(events.where("arrival_seq < 1024"))
     assert {r["source"]: r["avg"] for r in edge_state(events.where("arrival_seq >= 1024"), first).collect()} == want
+
+
+def test_average_in_the_store(spark, tmp_path):
+    events, want = _long_edges(spark)
+    store = Store(spark, f"file://{tmp_path}/s")
+    apply_batch(store, 0, events.where("arrival_seq < 1024"))
+    apply_batch(store, 1, events)
+    assert {r["source"]: r["avg"] for r in store.load().edge_state.collect()} == want
