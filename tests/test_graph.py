@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph import ingest_queries
 from tidegraph.config import GeneratorConfig, HealthConfig, IngestConfig
 from tidegraph.engine import Engine
 from tidegraph.errors import InvalidRequest, PipelineClosed, UnknownService
@@ -372,3 +373,15 @@ def test_average_in_the_store(spark, tmp_path):
     apply_batch(store, 0, events.where("arrival_seq < 1024"))
     apply_batch(store, 1, events)
     assert {r["source"]: r["avg"] for r in store.load().edge_state.collect()} == want
+
+
+def test_files_of_the_stream_are_bounded(spark, monkeypatch, tmp_path):
+    """Four parts of several files each, two triggers: the state of all events in order, and no file of more than FILE_EVENTS places."""
+    sf = "/root/testdata/sf0.001"
+    want = sorted(ingest_queries.edges_of_two_batches(spark, sf).collect())
+    monkeypatch.setattr(ingest_queries, "FILE_EVENTS", 60)
+    monkeypatch.setattr(ingest_queries, "_own_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert sorted(ingest_queries.stream_edges(spark, sf).collect()) == want
+    files = [json.loads(p.read_text()) for p in tmp_path.glob("incoming/*/*/part-*")]
+    assert len(files) % 4 == 0 and 0 < max(map(len, files)) <= 60 and sum(map(len, files)) == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert len(list(tmp_path.glob("streamed/committed/[0-9]*"))) == 2

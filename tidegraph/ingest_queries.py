@@ -23,6 +23,8 @@ from .sources.store import Store
 from .streaming.pipeline import Intake, apply_batch, batch_ack, stream
 from .tools import call
 
+#: Places of a file of the stream. A file is one JSON array, which a task holds whole.
+FILE_EVENTS = 10_000
 #: Events up to here are the first batch, those after it the second.
 _CUT = "(SELECT max(arrival_seq) // 2 FROM dep)"
 #: Places, by arrival modulo 97, at which the wire form of an event is spoilt.
@@ -160,16 +162,20 @@ def ingest_reports(spark, sf_dir):
 
 
 def stream_edges(spark, sf_dir):
-    """The events as files of JSON arrays through the stream: four files, a trigger for each two."""
+    """The events as files of JSON arrays through the stream: four parts, each of as many files of at most FILE_EVENTS places, a trigger for each two parts."""
     folder, state = _own_folder(spark, "incoming"), _own_folder(spark, "streamed")
     rows = wire(mapped.dep_events(spark, sf_dir))
     width = (rows.agg(F.max("arrival_seq")).first()[0] or 0) // 4 + 1
-    files = rows.groupBy(F.floor(F.col("arrival_seq") / width).cast("int").alias("k")).agg(F.array_sort(F.collect_list(F.struct("arrival_seq", "value"))).alias("l"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["value"]), ","), F.lit("]"))
+    n = -(-width // FILE_EVENTS)
     for k in range(4):  # one after another, so that their order of appearance is that of the events
-        files.where(F.col("k") == k).select(text.alias("value")).coalesce(1).write.mode("append").text(f"{folder}/{k}")
+        own = rows.where(F.floor(F.col("arrival_seq") / width) == k).withColumn("file", F.floor((F.col("arrival_seq") - k * width) / FILE_EVENTS))
+        full = own.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("arrival_seq", "value"))).alias("l"))
+        files = spark.range(n).withColumnRenamed("id", "file").join(full, "file", "left")  # a file of no events is an empty array: parts have n files each
+        text = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("l", lambda x: x["value"]), ","), F.lit("")), F.lit("]"))
+        files.select(F.format_string("%010d", "file").alias("file"), text.alias("value")).repartition("file").write.partitionBy("file").text(f"{folder}/{k}")
     store = Store(spark, state)
-    stream(spark, f"{folder}/*", store, f"{state}-checkpoint", IngestConfig(max_files_per_trigger=2)).awaitTermination(600)
+    query = stream(spark, f"{folder}/*/*", store, f"{state}-checkpoint", IngestConfig(max_files_per_trigger=2 * n))
+    query.awaitTermination()
     return _shown(store.load().edge_state)
 
 
