@@ -634,3 +634,16 @@ def test_secret_without_id(spark, tmp_path):
 def test_registry():
     names = [n.split("_")[0] for n in registry.queries()]
     assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_near_copies_by_the_trie(spark):
+    """The trie alone links texts of close fingerprints; a large bucket of copies that are not all near ones is the same as by brute force, with one row at a time too."""
+    base = prose(120)
+    texts = [prose(60) for _ in range(20)] + [edited(base, RNG.randrange(1, 9)) for _ in range(150)]
+    texts += [f"{texts[0]} {texts[0]} {texts[0]}", f"{texts[0]} {texts[0]} {texts[0]} {texts[0]}"]  # one set, two texts
+    root, _ = jaccard_groups(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    trie = {frozenset((r["a"], r["b"])) for r in near_copies._by_trie(near_copies._signed(rows, "text")).collect()}
+    assert frozenset((170, 171)) in trie
+    got = {r["node"]: r["root"] for r in near_copies.near_pairs_connected(rows).collect()}
+    assert len(set(root)) > 21 and [got.get(i, i) for i in range(len(texts))] == root

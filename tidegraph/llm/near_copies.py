@@ -1,9 +1,7 @@
-"""Near copies: all texts whose sets of five-word shingles have Jaccard 0.8 or more, by prefix filtering, and their groups."""
+"""Near copies: SimHash fingerprints joined by a binary trie, with an exact check of the five-word Jaccard; prefixes find the pairs over the trie's budget."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,16 +9,23 @@ from pyspark.sql import functions as F
 
 from .common import drop, in_sieve, sieve, stored
 from .components import connected_components
+from .simhash import near_fingerprints, popcount
 from .texts import Words, mixed, slices, utf8
 
 SHINGLE_WORDS = 5
 #: Least Jaccard, in hundredths.
 LEAST = 80
-#: Ratio of neighbouring size classes.
-SIZE_STEP = 1.26
 #: Rows whose shingles are counted, and shingles at most that count as common ones. Both bear on the work alone, not on the result.
 SAMPLE_ROWS = 16_384
 COMMON = 1 << 17
+#: Bits in which fingerprints that the trie links may differ.
+BUDGET = 3
+#: Bits of a row's parities: its shingles by hash, modulo two.
+PARITIES = 512
+#: Rows of a bucket up to which all its pairs are looked at at once; in a larger one its rows meet pivots first.
+WHOLE = 64
+#: Rows of a large bucket that meet at a time.
+TILE = (256, 2048)
 #: Counters of a row's sketch: its shingles by hash.
 CELLS = 128
 
@@ -53,16 +58,47 @@ def _shingled(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.select("_row", text_col).mapInArrow(run, "_row long, sh array<long>")
 
 
-def _sketches(rows: DataFrame, text_col: str) -> DataFrame:
-    """_row, n and c: the number of shingles by hash modulo CELLS, as 32-bit integers."""
+def _simhash(s: np.ndarray) -> int:
+    """64-bit SimHash of a set of hashes: a bit is 1 if set in over half of them. (A signed long.)"""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(s), 1 << 16):
+        ones += np.unpackbits(s[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(s)).tobytes(), "big", signed=True)
+
+
+def _signed(rows: DataFrame, text_col: str) -> DataFrame:
+    """What is known of each row's shingles, of one pass over the texts.
+
+    _row; n, their number; fp, their SimHash; par, their parities by hash modulo PARITIES; c, their numbers by hash modulo
+    CELLS, as 32-bit integers; p, the prefix; few, how much of it the smaller row of a pair needs.
+
+    Of two sets with Jaccard >= LEAST / 100 each shares more than n - ceil(n * LEAST / 100) of its n shingles with the
+    other, so under any one order of all shingles their first n - ceil(n * LEAST / 100) + 1 have one in common; of the one
+    that is not larger the first n - ceil(2 * n * LEAST / (100 + LEAST)) + 1 do. The order puts common shingles last, so
+    a line that many texts hold gathers only texts of little else.
+    """
+    common = _common(rows, text_col)
+    by_value = np.argsort(common)
+    known = common[by_value]
 
     def run(batches):
         for b in batches:
-            sets = shingle_sets(utf8(b.column(1)))
-            cells = [np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes() for s in sets]
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cells, pa.binary())], names=["_row", "n", "c"])
+            out = []
+            for row, s in zip(b.column(0).to_pylist(), shingle_sets(utf8(b.column(1))), strict=True):
+                t, n = s.view(np.int64), len(s)
+                rank = np.full(n, -1)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                    rank = np.where(known[at] == t, by_value[at], -1)
+                prefix = t[np.lexsort((t, rank))][: n - -(-n * LEAST // 100) + 1]
+                par = np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+                cells = np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes()
+                out.append((row, n, _simhash(s), par, cells, prefix, n - -(-2 * n * LEAST // (100 + LEAST)) + 1))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["_row", "n", "fp", "par", "c", "p", "few"])
 
-    return stored(rows.select("_row", text_col).mapInArrow(run, "_row long, n long, c binary"), "sketches")
+    return stored(rows.select("_row", text_col).mapInArrow(run, "_row long, n long, fp long, par binary, c binary, p array<long>, few long"), "signed")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -87,73 +123,137 @@ def _common(rows: DataFrame, text_col: str) -> np.ndarray:
     return np.array([r["t"] for r in counts.orderBy(F.desc("count"), "t").limit(COMMON).collect()][::-1], np.int64)
 
 
-def _buckets(rows: DataFrame, text_col: str) -> DataFrame:
-    """t, n, size, _row: the shingles of each row's prefix that recur, n the number of its shingles, size the class of n.
+def _by_trie(signed: DataFrame) -> DataFrame:
+    """Pairs a, b of each row and the least one that its fingerprint leads to over links within BUDGET."""
+    rows = signed.select("_row", "fp")
+    linked = connected_components(near_fingerprints(rows.select("fp").distinct(), BUDGET)).select(F.col("node").alias("fp"), "root")
+    named = rows.join(linked, "fp", "left").select("_row", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("_row").alias("a"))
+    return named.join(least, "root").where("a <> _row").select("a", F.col("_row").alias("b"))
 
-    Of two sets with Jaccard >= LEAST / 100 each shares more than n - ceil(n * LEAST / 100) of its n shingles with the
-    other, so under any one order of all shingles their first n - ceil(n * LEAST / 100) + 1 have one in common. The
-    order puts common shingles last, so a line that many texts hold gathers only texts of little else. Recurring
-    shingles are found by counts and come back to the rows as a sieve, so a shingle's rows are never gathered: each stands in
-    a row of its own. Classes of n grow by SIZE_STEP, which is over 100 / LEAST: sizes of a pair are at most one class apart.
-    """
-    common = _common(rows, text_col)
-    by_value = np.argsort(common)
-    known = common[by_value]
 
-    def run(batches):
-        for b in batches:
-            row_out, n_out, t_out = [], [], []
-            for row, s in zip(b.column(0).to_pylist(), shingle_sets(utf8(b.column(1))), strict=True):
-                t = s.view(np.int64)
-                rank = np.full(len(t), -1)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                    rank = np.where(known[at] == t, by_value[at], -1)
-                first = t[np.lexsort((t, rank))][: len(t) - -(-len(t) * LEAST // 100) + 1]
-                t_out.append(first)
-                row_out.append(np.full(len(first), row))
-                n_out.append(np.full(len(first), len(t)))
-            if t_out:
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (t_out, n_out, row_out)], names=["t", "n", "_row"])
-
-    index = stored(rows.select("_row", text_col).mapInArrow(run, "t long, n long, _row long"), "prefixes")
-    again = stored(index.groupBy("t").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("t"), "recurring")
-    bits, words = sieve(again, F.col("t"))
-    found = index.where(in_sieve(bits, words, F.col("t"))).join(again, "t", "left_semi")
-    out = stored(found.select("t", "n", F.floor(F.log("n") / math.log(SIZE_STEP)).alias("size"), "_row"), "buckets")
-    drop(index, again)
-    return out
+def _buckets(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, short, _row: recurring shingles of the rows' prefixes; t of those in over WHOLE rows). short: whether t is among the row's first `few`.
 
-
-def _fits(small: str, large: str):
-    n, m = F.least(small, large), F.greatest(small, large)
-    return 100 * n >= LEAST * m
+    Recurring shingles are found by counts and come back to the rows as a sieve, so a shingle's rows are never gathered:
+    each stands in a row of its own.
+    """
+    index = signed.select("_row", "few", F.posexplode("p").alias("pos", "t")).select("t", (F.col("pos") < F.col("few")).alias("short"), "_row")
+    again = stored(index.groupBy("t").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "recurring")
+    bits, words = sieve(again, F.col("t"))
+    out = stored(index.where(in_sieve(bits, words, F.col("t"))).join(again, "t", "left_semi"), "buckets")
+    return out, again.where(F.col("_n") > WHOLE).select("t")
 
 
-def _to_first(buckets: DataFrame) -> DataFrame:
-    """Pairs of each row of a bucket and the first of its own size class, and of the class below: as many as the buckets have rows, twice."""
-    first = buckets.groupBy("t", "size").agg(F.min(F.struct("_row", "n")).alias("f")).select("t", "size", F.col("f._row").alias("a"), F.col("f.n").alias("m"))
-    above = first.withColumn("size", F.col("size") + 1)
-    met = buckets.join(first.unionByName(above), ["t", "size"]).where((F.col("a") != F.col("_row")) & _fits("n", "m"))
-    return met.select("a", F.col("_row").alias("b"))
+def _able(x: dict, i: np.ndarray, j: np.ndarray, prefixes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i and j of the pairs that can reach LEAST, with the number of parities that differ.
 
+    Sets of n and m shingles share ceil(LEAST * (n + m) / (100 + LEAST)) at least, and no more parities differ than shingles
+    do. With prefixes, a pair need only be seen where the shingle is in the short prefix of the smaller row, of both if
+    they are of one size.
+    """
+    n, m = x["n"][i], x["n"][j]
+    ok = 100 * np.minimum(n, m) >= LEAST * np.maximum(n, m)
+    if prefixes:
+        ok &= ((n > m) | x["short"][i]) & ((m > n) | x["short"][j])
+    i, j = i[ok], j[ok]
+    total = x["n"][i] + x["n"][j]
+    differ = popcount(x["par"][i] ^ x["par"][j]).sum(axis=1, dtype=np.int64)
+    ok = differ <= total - 2 * -(-LEAST * total // (100 + LEAST))
+    return i[ok], j[ok], differ[ok]
+
+
+def _whole_buckets(batches):
+    """Columns by name, of some whole buckets at a time, from batches in the order of t."""
+    held: list[dict] = []
+    for b in batches:
+        x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names if k != "par"}
+        x["par"] = np.frombuffer(b"".join(b.column("par").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+        x["short"] = x["short"].astype(bool)
+        last = int(np.searchsorted(x["t"], x["t"][-1])) if len(x["t"]) else 0
+        if held and len(x["t"]) and (last or held[-1]["t"][-1] != x["t"][-1]):
+            held.append({k: v[:last] for k, v in x.items()})
+            yield {k: np.concatenate([h[k] for h in held]) for k in x}
+            held = []
+        elif last:
+            yield {k: v[:last] for k, v in x.items()}
+        if len(x["t"]):
+            held.append({k: v[last:] for k, v in x.items()})
+    if held:
+        yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+
+
+def _pairs(x: dict, i: np.ndarray, j: np.ndarray):
+    return pa.record_batch([pa.array(x["_row"][i]), pa.array(x["_row"][j])], names=["a", "b"])
+
+
+def _dealt(buckets: DataFrame, signed: DataFrame, *more: str) -> DataFrame:
+    own = buckets.join(signed.select("_row", "n", "par"), "_row").select("t", "_row", "n", "short", "par", *more)
+    return own.repartition("t").sortWithinPartitions("t")
+
+
+def _at_once(buckets: DataFrame, signed: DataFrame) -> DataFrame:
+    """All pairs that are able, of buckets of up to WHOLE rows; of larger ones each row and a pivot.
+
+    A pivot is the row nearest to the majority of the parities, as an original is to its copies; rows that are not able
+    with it meet another.
+    """
 
-def _across(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs of a bucket that can reach LEAST and are in different groups (node, root).
+    def run(batches):
+        for x in _whole_buckets(batches):
+            t = x["t"]
+            lo = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            size = np.diff(np.append(lo, len(t)))
+            small, d = np.repeat(size <= WHOLE, size), 1
+            while len(i := np.flatnonzero((t[:-d] == t[d:]) & small[:-d])):
+                yield _pairs(x, *_able(x, i, i + d)[:2])
+                d += 1
+            for k in np.flatnonzero(size > WHOLE):
+                rest = np.arange(lo[k], lo[k] + size[k])
+                for _ in range(WHOLE):
+                    ones = sum(np.unpackbits(x["par"][rest[at : at + 4096]].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(rest), 4096))
+                    most = np.packbits(2 * ones > len(rest)).view(np.uint64)
+                    pivot = rest[popcount(x["par"][rest] ^ most).sum(axis=1, dtype=np.int64).argmin()]
+                    rest = rest[rest != pivot]
+                    met = _able(x, np.full(len(rest), pivot), rest, False)[1]
+                    yield _pairs(x, np.full(len(met), pivot), met)
+                    rest = np.setdiff1d(rest, met, True)
+                    if len(rest) < 2:
+                        break
+
+    return _dealt(buckets, signed).mapInArrow(run, "a long, b long")
+
+
+def _across(buckets: DataFrame, large: DataFrame, signed: DataFrame, groups: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of large buckets that are able and in different groups (node, root): all of them, or for each row and tile the nearest."""
+    own = buckets.join(large, "t", "left_semi").join(groups.select(F.col("node").alias("_row"), "root"), "_row", "left").withColumn("root", F.coalesce("root", "_row"))
+    mixed_ = own.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
 
-    Groups that share a bucket meet first, a row for each; only then do the rows of two such groups, by bucket and group, so
-    the rows of one large group are never held against one another.
-    """
-    named = buckets.join(groups.select(F.col("node").alias("_row"), "root"), "_row", "left").withColumn("root", F.coalesce("root", "_row"))
-    mixed_ = named.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    named = stored(named.join(mixed_, "t", "left_semi"), "mixed-buckets")
-    some = named.select("t", "size", "root").distinct()
-    a, b = some.toDF("t", "size_a", "root_a"), some.toDF("t", "size_b", "root_b")
-    near = a.join(b.withColumn("size_a", F.explode(F.array(F.col("size_b") - 1, F.col("size_b")))), ["t", "size_a"])
-    near = near.where((F.col("root_a") != F.col("root_b")) & ((F.col("size_a") != F.col("size_b")) | (F.col("root_a") < F.col("root_b"))))
-    x, y = (named.select("t", F.col("_row").alias(f"_{k}"), F.col("n").alias(f"n_{k}"), F.col("size").alias(f"size_{k}"), F.col("root").alias(f"root_{k}")) for k in "ab")
-    met = near.join(x, ["t", "size_a", "root_a"]).join(y, ["t", "size_b", "root_b"]).where(_fits("n_a", "n_b"))
-    return met.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    def run(batches):
+        for x in _whole_buckets(batches):
+            order = np.lexsort((x["root"], x["t"]))
+            x = {k: v[order] for k, v in x.items()}
+            t, g = x["t"], x["root"]
+            lo = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            for first, end in zip(lo.tolist(), [*lo[1:].tolist(), len(t)], strict=True):
+                for i0 in range(first, end, TILE[0]):
+                    i1 = min(end, i0 + TILE[0])
+                    for j0 in range(first if nearest else i0, end, TILE[1]):
+                        j1 = min(end, j0 + TILE[1])
+                        at, to = np.nonzero(g[i0:i1, None] != g[None, j0:j1])
+                        i, j = at + i0, to + j0
+                        if not nearest:
+                            i, j = i[i < j], j[i < j]
+                        i, j, differ = _able(x, i, j)
+                        if nearest:
+                            by = np.lexsort((differ, i))
+                            i, j = i[by], j[by]
+                            one = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.empty(0, bool)
+                            i, j = i[one], j[one]
+                        if len(i):
+                            yield _pairs(x, i, j)
+
+    return _dealt(own.join(mixed_, "t", "left_semi"), signed, "root").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
@@ -172,15 +272,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, text_col:
 def near_pairs_connected(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """node, root of the groups that pairs with Jaccard >= LEAST / 100 connect; rows: _row (unique, stored) and text.
 
-    Each row is first held against the first ones of its buckets, which gathers large groups in about as many pairs as the
-    buckets have rows; then all pairs of a bucket that are still in different groups are. No pair is left out but those
-    in one group already.
+    A trie of the SimHash fingerprints links rows within BUDGET; each link is checked by its Jaccard. Fingerprints at
+    Jaccard 0.8 differ in some ten bits, so the exact way for the rest goes by prefixes: all pairs of a small bucket, and in
+    a large one each row with a pivot, then those still in different groups, nearest first. No pair is left
+    out but those that counts of their shingles rule out and those in one group already.
     """
-    buckets = _buckets(rows, text_col)
-    sketches = _sketches(rows, text_col)
-    links = _verified(_to_first(buckets), rows, sketches, text_col)
-    groups = connected_components(links)
-    return connected_components(links.unionByName(_verified(_across(buckets, groups), rows, sketches, text_col)))
+    signed = _signed(rows, text_col)
+    buckets, large = _buckets(signed)
+    sketches = signed.select("_row", "n", "c")
+    links = _verified(_by_trie(signed).unionByName(_at_once(buckets, signed)), rows, sketches, text_col)
+    for nearest in (True, False):
+        more = _verified(_across(buckets, large, signed, connected_components(links), nearest), rows, sketches, text_col)
+        links = links.unionByName(more)
+    return connected_components(links)
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
