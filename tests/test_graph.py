@@ -385,3 +385,23 @@ def test_files_of_the_stream_are_bounded(spark, monkeypatch, tmp_path):
     files = [json.loads(p.read_text()) for p in tmp_path.glob("incoming/*/*/part-*")]
     assert len(files) % 4 == 0 and 0 < max(map(len, files)) <= 60 and sum(map(len, files)) == spark.read.parquet(f"{sf}/events.parquet").count()
     assert len(list(tmp_path.glob("streamed/committed/[0-9]*"))) == 2
+
+
+def test_prior_state_meets_its_events_where_joins_are_planned_anew(spark, tmp_path):
+    """The second batch's join with the edges' counts is read by mapper once the counts are known to be small; an edge's prior state still comes to the task of its events."""
+    k = F.col("id")
+    edge = (k % 10).cast("string")
+    events = spark.range(0, 20_000, 1, 4).select(
+        F.concat(F.lit("e-"), "id").alias("event_id"), F.when(k % 50 == 49, "dependency_removed").otherwise("dependency_observed").alias("type"), F.timestamp_seconds(k).alias("ts"), F.concat(F.lit("s"), edge).alias("source"),
+        F.concat(F.lit("t"), edge).alias("target"), F.lit(5).alias("latency_ms"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("service"), F.lit(None).cast("map<string,string>").alias("attributes"), k.alias("arrival_seq"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        store = Store(spark, f"file://{tmp_path}/s")
+        apply_batch(store, 0, events.where("arrival_seq < 10000"))
+        apply_batch(store, 1, events)
+        got = sorted((r["source"], r["n"], r["live"]) for r in store.load().edge_state.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the tenth edge: four observations after each removal, the last event removes it
+    assert got == [(f"s{i}", 2000, True) for i in range(9)] + [("s9", 4, False)]

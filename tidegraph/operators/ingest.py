@@ -145,7 +145,8 @@ def edge_state(events: DataFrame, previous: DataFrame | None = None, cap: int =
         known = previous.join(edges.select("source", "target").distinct(), ["source", "target"], "left_semi")
         nothing = {"observed": "boolean", "ts": "bigint", "latency_ms": "int", "status": "string"}
         steps = steps.unionByName(known.select("source", "target", F.lit(-(1 << 63)).alias("_seq"), *(F.lit(None).cast(k).alias(c) for c, k in nothing.items()), limit.alias("oldest"), F.struct(*longs).cast(old_kind).alias("old")))
-    folded = steps.repartition("source", "target").sortWithinPartitions("source", "target", "_seq").mapInArrow(_in_order(cap), _FOLDED)
+    # Dealt by a struct: an exchange by the columns of the join below is optimized out, and AQE then reads that join by mapper or splits its large partitions
+    folded = steps.repartition(F.struct("source", "target")).sortWithinPartitions("source", "target", "_seq").mapInArrow(_in_order(cap), _FOLDED)
     folded = folded.withColumns({"last_obs": F.timestamp_micros("last_obs"), "tombstone": F.timestamp_micros("tombstone"), "samples": F.transform("samples", lambda s: F.struct(F.timestamp_micros(s["ts"]).alias("ts"), s["latency_ms"].alias("latency_ms"), s["status"].alias("status")))})
     out = plain.select(*_FIELDS).unionByName(folded.select(*_FIELDS))
     if previous is not None:
