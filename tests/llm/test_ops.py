@@ -647,3 +647,20 @@ def test_near_copies_by_the_trie(spark):
     assert frozenset((170, 171)) in trie
     got = {r["node"]: r["root"] for r in near_copies.near_pairs_connected(rows).collect()}
     assert len(set(root)) > 21 and [got.get(i, i) for i in range(len(texts))] == root
+
+
+def test_sketches_rule_out_unrelated_long_texts(spark):
+    """Sketches grow with the text, so that long texts of other words are ruled out before their shingles are shuffled; what they allow is never under the real overlap."""
+    rng = random.Random(5)
+    one, other = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (6000, 6100))
+    near = [w for i, w in enumerate(one) if i % 100]
+    short = ["a b c d e f g", "a b c d e f h", ""]
+    texts = [" ".join(one), " ".join(other), " ".join(near), *short]
+    signed = near_copies._signed(spark.createDataFrame(list(enumerate(texts)), "_row long, text string"), "text")
+    pairs = spark.createDataFrame([(a, b) for a in range(3) for b in range(a + 1, 3)], "a long, b long")
+    assert {(r["a"], r["b"]) for r in near_copies._possible(pairs, signed.select("_row", "n", "c")).collect()} == {(0, 2)}
+    sets = near_copies.shingle_sets([t.encode() for t in texts])
+    both = [(x, y) for x in sets for y in sets]
+    most = near_copies._most_shared([near_copies._sketch(x) for x, _ in both], [near_copies._sketch(y) for _, y in both])
+    assert all(m >= len(set(x.tolist()) & set(y.tolist())) for m, (x, y) in zip(most, both))
+    assert [m for m, (x, y) in zip(most, both) if x is y] == [len(x) for x in sets]

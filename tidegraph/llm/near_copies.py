@@ -26,8 +26,9 @@ PARITIES = 512
 WHOLE = 64
 #: Rows of a large bucket that meet at a time.
 TILE = (256, 2048)
-#: Counters of a row's sketch: its shingles by hash.
-CELLS = 128
+#: Counters of a row's sketch, its shingles by hash: a power of two between these, of so many shingles at most on average if there are enough.
+CELLS = (128, 4096)
+CELL_SHINGLES = 8
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -69,8 +70,7 @@ def _simhash(s: np.ndarray) -> int:
 def _signed(rows: DataFrame, text_col: str) -> DataFrame:
     """What is known of each row's shingles, of one pass over the texts.
 
-    _row; n, their number; fp, their SimHash; par, their parities by hash modulo PARITIES; c, their numbers by hash modulo
-    CELLS, as 32-bit integers; p, the prefix; few, how much of it the smaller row of a pair needs.
+    _row; n, their number; fp, their SimHash; par, their parities by hash modulo PARITIES; c, the sketch; p, the prefix; few, how much of it the smaller row of a pair needs.
 
     Of two sets with Jaccard >= LEAST / 100 each shares more than n - ceil(n * LEAST / 100) of its n shingles with the
     other, so under any one order of all shingles their first n - ceil(n * LEAST / 100) + 1 have one in common; of the one
@@ -92,8 +92,7 @@ def _signed(rows: DataFrame, text_col: str) -> DataFrame:
                     rank = np.where(known[at] == t, by_value[at], -1)
                 prefix = t[np.lexsort((t, rank))][: n - -(-n * LEAST // 100) + 1]
                 par = np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
-                cells = np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes()
-                out.append((row, n, _simhash(s), par, cells, prefix, n - -(-2 * n * LEAST // (100 + LEAST)) + 1))
+                out.append((row, n, _simhash(s), par, _sketch(s), prefix, n - -(-2 * n * LEAST // (100 + LEAST)) + 1))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64())
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["_row", "n", "fp", "par", "c", "p", "few"])
@@ -101,18 +100,40 @@ def _signed(rows: DataFrame, text_col: str) -> DataFrame:
     return stored(rows.select("_row", text_col).mapInArrow(run, "_row long, n long, fp long, par binary, c binary, p array<long>, few long"), "signed")
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Numbers of the hashes by their last bits, as 32-bit integers. A sketch of more cells folds to one of fewer."""
+    least, most = CELLS
+    m = min(most, max(least, 1 << (-(-len(s) // CELL_SHINGLES) - 1).bit_length()))
+    return np.bincount((s % np.uint64(m)).astype(np.int64), minlength=m).astype("<i4").tobytes()
+
+
+def _most_shared(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """The most hashes that the sets of each two sketches can share: the lesser of their counts in each cell."""
+    lengths = np.array([[len(s) // 4 for s in x], [len(s) // 4 for s in y]], np.int64)
+    out = np.zeros(len(x), np.int64)
+    for own in np.unique(lengths, axis=1).T:
+        at = np.flatnonzero((lengths == own[:, None]).all(axis=0))
+        m = int(own.min())
+        for k in range(0, len(at), 1024):
+            i = at[k : k + 1024]
+            folded = [np.frombuffer(b"".join(side[j] for j in i), "<i4").reshape(len(i), -1, m).sum(axis=1) for side in (x, y)]
+            out[i] = np.minimum(*folded).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs less those whose sketches rule LEAST out: two sets share no more than the lesser of their counts in each cell."""
+    """Pairs (stored) less those whose sketches rule LEAST out. Only the sketches of their rows are shuffled, and few others."""
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<i4").reshape(-1, CELLS) for k in (4, 5))
-            same = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            same = _most_shared(b.column(4).to_pylist(), b.column(5).to_pylist())
             total = b.column(2).to_numpy() + b.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(100 * same >= LEAST * (total - same)))
 
-    with_a = pairs.join(sketches.toDF("a", "na", "ca"), "a")
-    return with_a.join(sketches.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+    bits, words = sieve(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), F.xxhash64("_row"))
+    own = sketches.where(in_sieve(bits, words, F.xxhash64("_row")))
+    with_a = pairs.join(own.toDF("a", "na", "ca"), "a")
+    return with_a.join(own.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
 def _common(rows: DataFrame, text_col: str) -> np.ndarray:
@@ -258,8 +279,9 @@ def _across(buckets: DataFrame, large: DataFrame, signed: DataFrame, groups: Dat
 
 def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
     """Those of the pairs whose Jaccard is LEAST or more."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = stored(_possible(pairs, sketches), "pairs")
+    met = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "met")
+    pairs = stored(_possible(met, sketches), "pairs")
+    drop(met)
     named = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     sets = stored(_shingled(rows.join(named, "_row", "left_semi"), text_col), "sets")
     both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("_row").alias("b"), F.col("sh").alias("y")), "b")
